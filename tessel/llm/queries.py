@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, packing, quality, token_count, topk, vector_dedup
+from . import jaccard, licenses, packing, quality, token_count, topk, vector_dedup
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_documents(table(spark, sf_dir, "documents"), 3, 90)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = packing.pack(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
     return got.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_license_scan": op4_license_scan,
     "op6_exact_topk": op6_exact_topk,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
 }
