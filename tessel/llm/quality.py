@@ -135,8 +135,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, id_col: str =
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False, name: str = "score") -> DataFrame:
     """(id, score), or all columns and the score."""
     held = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias))
-    cols = [c for c in docs.columns if c != name] if keep_columns else [id_col]
+    cols = [c for c in docs.columns if c not in (name, text_col)] if keep_columns else [id_col]
     ask = docs.select(*cols, F.col(text_col).alias("__text"))
+    names, kinds = cols + [text_col] * keep_columns, {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*held.value)
@@ -145,6 +146,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for s, e in text_slices(texts):
                 got = m.scores([(t or "").encode("utf-8", "surrogatepass") for t in texts[s:e]])
                 part = b.slice(s, e - s)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(got, pa.float64())], [*part.schema.names[:-1], name])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(got, pa.float64())], [*names, name])
 
-    return ask.mapInArrow(rate, ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols) + f", {name} double")
+    return ask.mapInArrow(rate, ", ".join(f"`{c}` {kinds[c]}" for c in names) + f", {name} double")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, licenses, packing, quality, substrings, token_count, topk, vector_dedup
+from . import jaccard, licenses, mixing, packing, quality, substrings, token_count, topk, training_order, vector_dedup
 from .common import table
 
 
@@ -15,6 +15,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return got.select("doc_id", "source", *(F.col(f"__{c}").alias(c) for c in ("block", "release", "deadline", "slot", "position")))
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -23,6 +28,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.in_training_order(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -50,8 +59,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_source_mixing": op2_source_mixing,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_license_scan": op4_license_scan,
+    "op5_training_order": op5_training_order,
     "op6_exact_topk": op6_exact_topk,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_packing": op8_packing,
