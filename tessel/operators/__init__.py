@@ -1 +1 @@
-"""."""
+"""Operators over DataFrames of items, vectors, groups, clusters and folders."""

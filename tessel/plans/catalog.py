@@ -1,4 +1,7 @@
 """All registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tessel.plans import similarity
+
+PARTS = [similarity]
+QUERIES: dict = {k: f for part in PARTS for k, f in part.QUERIES.items()}
+ORACLES: dict = {k: s for part in PARTS for k, s in part.ORACLES.items()}
