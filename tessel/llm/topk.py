@@ -48,47 +48,53 @@ def _matrix(rows: pd.Series) -> np.ndarray:
     return out
 
 
-def block_scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    """Inner products, a term at a time: the term's weights of all queries go to the places of its postings."""
-    d = min(queries.shape[1], candidates.shape[1])
-    bound = int(np.abs(queries).max(initial=0)) * int(np.abs(candidates).max(initial=0)) * max(d, 1)
-    kind = np.int32 if bound < 2**31 else np.int64
-    scores = np.zeros((len(queries), len(candidates)), kind)
-    for t in range(d):
-        post = np.flatnonzero(candidates[:, t])
-        who = np.flatnonzero(queries[:, t])
-        if len(post) and len(who):
-            add = np.multiply.outer(queries[who, t].astype(kind), candidates[post, t].astype(kind))
-            if len(post) == len(candidates) and len(who) == len(queries):
-                scores += add
-            else:
-                scores[np.ix_(who, post)] += add
-    return scores
+class Postings:
+    """The candidates' weights by term: a full column where most candidates have the term, else its postings."""
+
+    def __init__(self, candidates: np.ndarray, kind: type):
+        self.n, self.kind = len(candidates), kind
+        self.terms: list[tuple[np.ndarray | None, np.ndarray]] = []
+        for t in range(candidates.shape[1]):
+            column = candidates[:, t].astype(kind)
+            post = np.flatnonzero(column)
+            self.terms.append((None, column) if 4 * len(post) > self.n else (post, column[post]))
+
+    def scores(self, query: np.ndarray) -> np.ndarray:
+        """One dense array takes every term's weighted postings, a term at a time; it stays in the cache."""
+        out, part = np.zeros(self.n, self.kind), np.empty(self.n, self.kind)
+        for t in np.flatnonzero(query[: len(self.terms)]):
+            weight, (post, values) = self.kind(query[t]), self.terms[t]
+            if post is None:
+                np.multiply(values, weight, out=part)
+                out += part
+            elif len(post):
+                out[post] += values * weight
+        return out
 
 
 def _best(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
     candidates = candidates.sort_values("vec_id")
     cid, cm = candidates.vec_id.to_numpy(np.int64), _matrix(candidates.terms)
     qid, qm = queries.vec_id.to_numpy(np.int64), _matrix(queries.terms)
-    n, out = len(cid), []
-    for a in range(0, len(qid), 64):
-        ids = qid[a : a + 64]
-        scores = block_scores(qm[a : a + 64], cm)
-        wide = int(np.abs(scores.astype(np.int64)).max(initial=0)) < 2**62 // (n + 1)
-        at = np.searchsorted(cid, ids)
-        own = np.append(cid, -1)[np.minimum(at, n)] == ids
-        for row in range(len(ids)):
-            s = scores[row].astype(np.int64)
-            keep = np.arange(n)
-            if own[row]:
-                keep = np.delete(keep, at[row])
-            if len(keep) > k and wide:
-                key = s[keep] * n + (n - 1 - keep)  # unique, so a tie goes to the smaller id
-                keep = keep[np.argpartition(key, len(key) - k)[len(key) - k :]]
-            elif len(keep) > k:
-                keep = keep[np.lexsort((keep, -s[keep].astype(object)))[:k]]
-            out.append(pd.DataFrame({"query_id": ids[row], "vec_id": cid[keep], "score": s[keep]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+    top = int(np.abs(qm).max(initial=0)) * int(np.abs(cm).max(initial=0)) * max(cm.shape[1], 1)
+    index = Postings(cm, np.int32 if top < 2**31 else np.int64)
+    own = np.searchsorted(cid, qid)
+    out: list[tuple[np.ndarray, ...]] = []
+    for q, row, at in zip(qid, qm, own, strict=True):
+        scores, want = index.scores(row), k
+        mine = at < len(cid) and cid[at] == q
+        if mine:
+            want += 1  # its own row is among the best or not; it goes afterwards
+        keep = np.arange(len(cid))
+        if len(cid) > want:
+            least = np.partition(scores, len(cid) - want)[len(cid) - want]
+            above = np.flatnonzero(scores > least)
+            keep = np.concatenate([above, np.flatnonzero(scores == least)[: want - len(above)]])  # ties: smaller ids first
+        if mine:
+            keep = keep[keep != at]
+        out.append((np.full(len(keep), q), cid[keep], scores[keep].astype(np.int64)))
+    cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 3
+    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cols, strict=True)))
 
 
 def top_inner_products(df: DataFrame, is_query: Column, k: int = 20, scale: float = 64, id_col: str = "vec_id", vec_col: str = "embedding", q_rows: int = 1024, c_rows: int = 16384) -> DataFrame:
