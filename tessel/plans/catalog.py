@@ -1,7 +1,7 @@
 """All registered queries and their SQL."""
 
-from tessel.plans import similarity
+from tessel.plans import lists, similarity
 
-PARTS = [similarity]
+PARTS = [similarity, lists]
 QUERIES: dict = {k: f for part in PARTS for k, f in part.QUERIES.items()}
 ORACLES: dict = {k: s for part in PARTS for k, s in part.ORACLES.items()}
