@@ -10,7 +10,8 @@ and, where partners may be smaller, in the band below. Candidates are verified b
 Sets that are equal are merged first. Then each bucket's members are compared to its smallest (a star, so a group of m
 copies costs m rows), verified links are joined to components, and only buckets that still hold several components are
 compared in full, by blocks of bounded size with the Hamming bound: a pair within a component could add nothing. So no
-pair of a group is listed for its own sake, yet no link between components is lost.
+pair of a group is listed for its own sake, yet no link between components is lost. Before the sets of two candidates
+are fetched their sketches are: a pair beyond the Hamming bound needs no more.
 
 Words are runs of what isn't ASCII white space, A-Z lower-cased. With fewer than k words the whole sequence is one shingle.
 Null texts, empty texts and texts without words have an empty set and link with nothing, nor do null ids (their
@@ -131,10 +132,13 @@ def _buckets(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "key long, id long, n long, head long")
 
 
+def _chosen(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The documents of the wanted ids (a written table): the ids are broadcast if they are few, else joined by a shuffle."""
+    return docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "id", "left_semi")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(id, hashes) of the wanted ids."""
-    small = wanted.count() <= BROADCAST_ROWS
-    chosen = docs.join(F.broadcast(wanted) if small else wanted, "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -143,7 +147,44 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 sets = shingles(_encoded(texts[s:e]), k)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], ["id", "hashes"])
 
-    return chosen.mapInArrow(run, "id long, hashes binary")
+    return _chosen(docs, wanted).mapInArrow(run, "id long, hashes binary")
+
+
+def _sketches(docs: DataFrame, wanted: DataFrame, bands: Bands, k: int) -> DataFrame:
+    """(id, n, sketches) of the wanted ids, a sketch for each band the document joins in: an eighth of its set's size or less."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            for s, e in text_slices(texts):
+                sets = shingles(_encoded(texts[s:e]), k)
+                words = [[bands.sketch(x, band).tobytes() for band in bands.of(len(x))] if len(x) else [] for x in sets]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), pa.array([len(x) for x in sets], pa.int64()), pa.array(words, pa.list_(pa.binary()))], ["id", "n", "sketches"])
+
+    return _chosen(docs, wanted).mapInArrow(run, "id long, n long, sketches array<binary>")
+
+
+def _near(pairs: DataFrame, sketches: DataFrame, bands: Bands) -> DataFrame:
+    """The pairs (a, b) that sizes and the Hamming distance of the sketches allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for n, m, x, y in zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                if n > m:
+                    n, m, x, y = m, n, y, x
+                shared, both = bands.of(n)[0] if n else -1, bands.of(m) if m else []
+                if shared not in both:
+                    keep.append(False)
+                    continue
+                far = int(np.bitwise_count(np.frombuffer(x[0], np.uint64) ^ np.frombuffer(y[both.index(shared)], np.uint64)).sum())
+                keep.append(far * (100 + bands.percent) <= (100 - bands.percent) * (n + m))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    got = pairs.join(sketches.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketches").alias("x")), "a")
+    got = got.join(sketches.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketches").alias("y")), "b")
+    close = (F.col("na") * 100 >= F.col("nb") * bands.percent) & (F.col("nb") * 100 >= F.col("na") * bands.percent)
+    return got.where(close).select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -171,18 +212,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _block_pairs(pdf: pd.DataFrame, bands: Bands) -> pd.DataFrame:
     """Pairs of different components in two chunks of a bucket (or one) that the Hamming bound allows."""
     pdf = pdf.sort_values(["side", "id"])
-    sets = [np.frombuffer(x, "<u8") for x in pdf.hashes]
-    n = np.array([len(x) for x in sets])
-    band = int(np.searchsorted(bands.top, n.min()))
-    words = np.stack([bands.sketch(x, band) for x in sets])
-    ids, comp, side = pdf.id.to_numpy(), pdf.comp.to_numpy(), pdf.side.to_numpy()
+    n, ids, comp, side = (pdf[c].to_numpy() for c in ("n", "id", "comp", "side"))
+    held = [bands.of(int(x)) for x in n]
+    shared = set(held[0]).intersection(*held)
+    words = np.stack([np.frombuffer(x[h.index(min(shared))], np.uint64) for x, h in zip(pdf.sketches, held, strict=True)]) if shared else None
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     if not len(right) and bool((pdf.ca == pdf.cb).all()):
         right = left
     out = []
     for i in left.tolist():
-        far = np.bitwise_count(words[right] ^ words[i]).sum(axis=1, dtype=np.int64)
-        some = (comp[right] != comp[i]) & (far * (100 + bands.percent) <= (100 - bands.percent) * (n[right] + n[i]))
+        some = comp[right] != comp[i]
+        if words is not None:  # else two buckets have one key by chance, and the next step decides
+            far = np.bitwise_count(words[right] ^ words[i]).sum(axis=1, dtype=np.int64)
+            some &= far * (100 + bands.percent) <= (100 - bands.percent) * (n[right] + n[i])
         if right is left:
             some &= right > i
         out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in right[some]]
@@ -196,14 +238,19 @@ def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = store.save(_digest(docs, bands, k), "rows")
     named = rows.where("n > 0 AND id IS NOT NULL")
-    reps = named.groupBy("fp").agg(F.min("id").alias("id"))
-    reps = store.save(reps, "reps")
-    first = named.select("id", "n", "fp", "keys").join(reps, ["fp", "id"], "left_semi")
+    reps = store.save(named.groupBy("fp").agg(F.min("id").alias("id")), "reps")
+    again = store.save(named.select("id", "fp").join(reps.withColumnRenamed("id", "least"), "fp").where("id != least").select("id", "fp").distinct(), "again")
+    first = named.select("id", "n", "fp", "keys").join(F.broadcast(again) if again.count() <= BROADCAST_ROWS else again, ["id", "fp"], "left_anti")
     shared = store.save(_buckets(first.select(F.explode("keys").alias("key"), "id", "n")), "shared")
-    sets = store.save(_sets(docs, store.save(shared.select("id").distinct(), "wanted"), k), "sets")
+    sketches = store.save(_sketches(docs, store.save(shared.select("id").distinct(), "wanted"), bands, k), "sketches")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        near = store.save(_near(pairs, sketches, bands), f"near-{name}")
+        ids = store.save(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"ids-{name}")
+        return store.save(_verified(near, _sets(docs, ids, k), percent), f"links-{name}")
+
     # the star of each bucket
-    stars = shared.where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    links = store.save(_verified(stars, sets, percent), "stars")
+    links = verified(shared.where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "stars")
     comp = store.save(components(links, store, "first"), "first")
     # the rest: buckets with several components
     placed = shared.join(comp, shared.id == comp.node, "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
@@ -216,9 +263,9 @@ def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
     many = rest.where(F.col("m") > LISTED).withColumn("chunks", F.ceil(F.col("m") / BLOCK_ROWS).cast("int"))
     many = many.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     many = many.select("key", F.least("chunk", "other").alias("ca"), F.greatest("chunk", "other").alias("cb"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "id", "comp")
-    blocks = many.join(sets, "id").groupBy("key", "ca", "cb").applyInPandas(lambda pdf: _block_pairs(pdf, bands), "a long, b long")
-    pairs = store.save(listed.unionByName(blocks).distinct(), "pairs")
-    links = links.unionByName(_verified(pairs, sets, percent))
+    blocks = many.join(sketches, "id").groupBy("key", "ca", "cb").applyInPandas(lambda pdf: _block_pairs(pdf, bands), "a long, b long")
+    pairs = listed.unionByName(blocks).distinct()
+    links = links.unionByName(verified(pairs, "rest2"))
     comp = store.save(components(links, store, "second"), "second")
     of_set = reps.join(comp, reps.id == comp.node, "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     out = rows.where("n > 0").select("id", "n", "fp").join(of_set, "fp", "left").select("id", "n", F.coalesce("component_id", "id").alias("component_id"))

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import SPACE, _powers, mix64, text_slices
 
 BITS = 18
+#: Bytes of text whose features are held at once (about a hundred bytes each).
+FEATURE_CHUNK = 1 << 20
 #: Letters, capitals, digits, bytes above ASCII, others.
 CLASS = np.full(256, 5, np.uint64)
 CLASS[97:123] = 1
@@ -124,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, id_col: str =
             yield pa.RecordBatch.from_arrays([ids, ys, *(pa.array(c, pa.binary()) for c in cols)], ["id", "y", "at", "share"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = chosen.select("id", "text", "y").mapInArrow(digest, f"id {kind}, y int, at binary, share binary").toPandas().sort_values(["id", "at"])
+    got = chosen.select("id", "text", "y").mapInArrow(digest, f"id {kind}, y int, at binary, share binary").toArrow().to_pandas().sort_values(["id", "at"])
     rows = [(np.frombuffer(a, "<i4"), np.frombuffer(s, "<f4"), int(y)) for a, s, y in zip(got["at"], got["share"], got["y"], strict=True) if len(a)]
     ones = sum(y for _, _, y in rows)
     if not rows or ones in (0, len(rows)):
@@ -143,7 +145,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         m = Model(*held.value)
         for b in batches:
             texts = b.column(b.num_columns - 1).to_pylist()
-            for s, e in text_slices(texts):
+            for s, e in text_slices(texts, FEATURE_CHUNK):
                 got = m.scores([(t or "").encode("utf-8", "surrogatepass") for t in texts[s:e]])
                 part = b.slice(s, e - s)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(got, pa.float64())], [*names, name])

@@ -32,7 +32,7 @@ def color_vector(rgb: np.ndarray) -> np.ndarray:
         parts.append(h / max(h.sum(), 1))
     for channel in rgb.astype(np.float64).T:
         mean, std = channel.mean(), channel.std()
-        skew = ((channel - mean) ** 3).mean() / std**3 if std > 1e-6 else 0.0
+        skew = (((channel - mean) / max(std, 1.0)) ** 3).mean()
         parts.append(np.array([mean / 256, std / 128, skew / 5]))
     return np.concatenate(parts)
 
