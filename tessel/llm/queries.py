@@ -70,4 +70,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+_COMPONENTS = """, ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), reach(i, j) AS (SELECT a, b FROM ways UNION SELECT r.i, e.b FROM reach r JOIN ways e ON r.j = e.a),
+  low AS (SELECT i, min(j) AS lo FROM reach GROUP BY i)"""
+
+#: Counting tokens, hashing ids and learned models can't be written in SQL; those queries are tested against the tokenizers library, exact round trips, brute force and held-out rows.
+ORACLES: dict[str, str] = {
+    "op3_embedding_dedup": """WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings WHERE label IS NOT NULL),
+  links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id AND list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= 0.98)"""
+    + _COMPONENTS
+    + """, n AS (SELECT a, count(*) AS n FROM ways GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, coalesce(lo, e.vec_id)) AS component_id, e.vec_id = least(e.vec_id, coalesce(lo, e.vec_id)) AS kept FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN low ON low.i = e.vec_id""",
+    "op6_exact_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS t FROM embeddings),
+  s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.t, c.t) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s) WHERE rank <= 20""",
+    "op7_jaccard_join": """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 1))) AS i FROM w WHERE len(w) > 0)),
+  n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id), shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+  links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 90 * (x.n + y.n - common))"""
+    + _COMPONENTS
+    + """ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(lo, d.doc_id)) AS component_id FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.i = d.doc_id""",
+}
