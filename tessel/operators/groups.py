@@ -199,3 +199,14 @@ def marks(trash: DataFrame, names: DataFrame, action: str) -> DataFrame:
     if action == "prune":
         return t.join(n, "filename", "left_semi")
     raise ValueError(action)
+
+
+def selection_total(members: DataFrame, group_ids: list[str]) -> DataFrame:
+    """(groups, images): how many groups and images a selection has."""
+    rows = members.where(F.col("group_id").isin(*group_ids))
+    return rows.agg(F.countDistinct("group_id").alias("groups"), F.count("*").alias("images"))
+
+
+def pending_total(pending: DataFrame) -> DataFrame:
+    """(pending): how many candidates wait to be merged."""
+    return pending.agg(F.count("*").alias("pending"))

@@ -157,3 +157,11 @@ def justified(cells: DataFrame, columns: int, width: int = 2000) -> DataFrame:
     heights = rows.groupBy("row").agg(F.first("h").alias("__h"))
     top = F.coalesce(F.sum("__h").over(Window.orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.withColumn("x", before).join(heights.select("row", top.alias("y")), "row").select("pos", "row", "x", "y", "w", "h")
+
+
+def subfolders(paths: DataFrame) -> DataFrame:
+    """(folder, pos) of the folders among (path), hidden ones left out, in natural order."""
+    from tessel.operators.positions import with_positions
+
+    rows = paths.where(F.instr("path", "/") > 0).select(F.substring_index("path", "/", 1).alias("folder")).where(~F.col("folder").startswith(".")).distinct()
+    return with_positions(rows, text.natural_key(F.col("folder")), "folder")
