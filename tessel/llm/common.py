@@ -42,6 +42,15 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+    def keep_only(self, name: str) -> None:
+        """Deletes the tables of this scratch that nothing needs any more."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for status in fs.listStatus(folder):
+            if status.getPath().getName() != name:
+                fs.delete(status.getPath(), True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
