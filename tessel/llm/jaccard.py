@@ -63,22 +63,29 @@ class Bands:
         differ = (100 - self.percent) * (top + top * 100 // self.percent) // (100 + self.percent)
         return differ + 1 + (differ + 1) // 4, differ + 1
 
+    def _places(self, hashes: np.ndarray, band: int) -> np.ndarray:
+        """The segment of each shingle."""
+        return (((hashes >> np.uint64(32)) * np.uint64(self.segments(band)[0])) >> np.uint64(32)).astype(np.int64)
+
     def sketch(self, hashes: np.ndarray, band: int) -> np.ndarray:
+        """64 bits a segment; each shingle toggles one."""
         m, _ = self.segments(band)
-        segment = ((hashes >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-        bit = (segment << np.uint64(6)) | (hashes & np.uint64(63))
-        odd = np.bincount(bit.astype(np.int64), minlength=64 * m).astype(np.uint8) & 1
-        return np.packbits(odd, bitorder="little").view(np.uint64)
+        bit = self._places(hashes, band) * 64 + (hashes & np.uint64(63)).astype(np.int64)
+        return np.packbits(np.bincount(bit, minlength=64 * m).astype(np.uint8) & 1, bitorder="little").view(np.uint64)
 
     def keys(self, hashes: np.ndarray) -> np.ndarray:
-        """What the document joins on."""
+        """What the document joins on: of each chosen segment the exclusive or of its shingles' whole hashes, a sketch of 2**64 possible bits in 64. Segments of equal content have equal keys; others by chance only."""
         out = []
         for band in self.of(len(hashes)):
             m, take = self.segments(band)
-            s = self.sketch(hashes, band)
-            name = mix64(s + mix64((np.uint64(band) << np.uint64(40)) + np.arange(m, dtype=np.uint64)))
+            place = self._places(hashes, band)
+            order = np.argsort(place, kind="stable")
+            first = np.flatnonzero(np.diff(place[order], prepend=-1))
+            name = np.zeros(m, np.uint64)
+            name[place[order[first]]] = np.bitwise_xor.reduceat(mix64(hashes + np.uint64(0x5851F42D4C957F2D))[order], first)
+            name = mix64(name + mix64((np.uint64(band) << np.uint64(40)) + np.arange(m, dtype=np.uint64)))
             if take < m:
-                worth = (np.bitwise_count(s).astype(np.uint64) << np.uint64(56)) | (name >> np.uint64(8))
+                worth = (np.bitwise_count(self.sketch(hashes, band)).astype(np.uint64) << np.uint64(56)) | (name >> np.uint64(8))
                 name = name[np.argsort(worth, kind="stable")[m - take :]]
             out.append(name)
         return np.concatenate(out)
@@ -271,8 +278,9 @@ def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
     out = rows.where("n > 0").select("id", "n", "fp").join(of_set, "fp", "left").select("id", "n", F.coalesce("component_id", "id").alias("component_id"))
     out = out.select("id", "n", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
     out = out.unionByName(rows.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
-    # rows that share an id and differ in text are one node
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    out = store.save(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id"), "groups")
+    store.keep_only("groups")
+    return out
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
