@@ -86,14 +86,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(mean + self.bias, -40, 40)))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], dim: int = 8, epochs: int = 6, rate: float = 40.0, seed: int = 1) -> Model:
-    """rows: buckets, their shares of the text, label. Two output rows, softmax, one step a text, a rate that falls to 0."""
+def train(rows: list[tuple[np.ndarray, np.ndarray, int]], dim: int = 8, epochs: int = 6, rate: float = 40.0, seed: int = 1, least_steps: int = 12_000) -> Model:
+    """rows: buckets, their shares of the text, label. Two output rows, softmax, one step a text, a rate that falls to 0.
+
+    An epoch takes every row once and rows of the rarer label again until both are as many; few rows get more epochs."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-0.5, 0.5, (1 << BITS, dim)).astype(np.float32) / dim
     out, bias = np.zeros((2, dim), np.float32), np.zeros(2, np.float32)
-    steps, done = epochs * len(rows), 0
+    kinds = [np.flatnonzero([y == label for _, _, y in rows]) for label in (0, 1)]
+    most = max(map(len, kinds))
+    epochs = max(epochs, -(-least_steps // (2 * most)))
+    steps, done = epochs * 2 * most, 0
     for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
+        turn = np.concatenate([np.resize(rng.permutation(k), most) for k in kinds])
+        for i in rng.permutation(turn):
             at, share, label = rows[i]
             lr = rate * (1 - done / steps)
             done += 1
