@@ -219,3 +219,9 @@ def library_codec(path: str) -> Codec:
         return np.fromiter(chain.from_iterable(got), np.int32, int(sizes.sum())), sizes
 
     return Codec(UNSPACED.findall, encode)
+
+
+def release() -> None:
+    """Drops what the codecs of earlier tasks of this worker remember, for tasks that need the memory."""
+    byte_codec.cache_clear()
+    library_codec.cache_clear()

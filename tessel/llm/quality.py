@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import release
 from .common import SPACE, _powers, mix64, text_slices
 
 BITS = 18
 #: Bytes of text whose features are held at once (about a hundred bytes each).
-FEATURE_CHUNK = 1 << 20
+FEATURE_CHUNK = 1 << 18
 #: Letters, capitals, digits, bytes above ASCII, others.
 CLASS = np.full(256, 5, np.uint64)
 CLASS[97:123] = 1
@@ -148,6 +149,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     names, kinds = cols + [text_col] * keep_columns, {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         m = Model(*held.value)
         for b in batches:
             texts = b.column(b.num_columns - 1).to_pylist()
