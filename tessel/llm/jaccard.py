@@ -35,6 +35,8 @@ BROADCAST_ROWS = 2_000_000
 #: Buckets of up to this many rows list their pairs; larger ones are compared in blocks.
 LISTED = 32
 BLOCK_ROWS = 1024
+#: Bytes of text whose words are hashed at once (about a hundred bytes each).
+HASH_CHUNK = 1 << 19
 
 
 class Bands:
@@ -101,7 +103,7 @@ def _digest(docs: DataFrame, bands: Bands, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
-            for s, e in text_slices(texts):
+            for s, e in text_slices(texts, HASH_CHUNK):
                 sets = shingles(_encoded(texts[s:e]), k)
                 keys = [bands.keys(x).view(np.int64) if len(x) else np.empty(0, np.int64) for x in sets]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
@@ -150,7 +152,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
-            for s, e in text_slices(texts):
+            for s, e in text_slices(texts, HASH_CHUNK):
                 sets = shingles(_encoded(texts[s:e]), k)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], ["id", "hashes"])
 
@@ -163,7 +165,7 @@ def _sketches(docs: DataFrame, wanted: DataFrame, bands: Bands, k: int) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
-            for s, e in text_slices(texts):
+            for s, e in text_slices(texts, HASH_CHUNK):
                 sets = shingles(_encoded(texts[s:e]), k)
                 words = [[bands.sketch(x, band).tobytes() for band in bands.of(len(x))] if len(x) else [] for x in sets]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), pa.array([len(x) for x in sets], pa.int64()), pa.array(words, pa.list_(pa.binary()))], ["id", "n", "sketches"])
