@@ -4,7 +4,7 @@ quality   documents that the classifier scores below 0.3 go (fit on the labels b
 dedup     of each group of near copies (five-word shingles, similarity 0.8 or more) the smallest id stays
 repeats   bytes covered by 50-byte strings that also start in a smaller document go
 mixing    documents are put in an order in which the sources follow their target weights
-packing   documents become token sequences of power-of-two lengths
+packing   documents become token sequences of power-of-two lengths, numbered in the order of the mixing
 
 The first four return the columns of ``documents``. Each stage works on all that its predecessor kept."""
 
@@ -40,7 +40,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, "word_bpe_49k.json")
+    return packing.pack(mixing.in_written_order(docs), "word_bpe_49k.json")
 
 
 STAGES = [("quality", good_documents), ("dedup", one_of_each_group), ("repeats", without_repeats), ("mixing", mixed_sources), ("packing", packed)]

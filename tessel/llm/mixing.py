@@ -122,3 +122,11 @@ def in_order(mixed: DataFrame) -> DataFrame:
     return mixed.repartitionByRange(n, "__position").sortWithinPartitions("__position").drop("__block", "__release", "__deadline", "__slot", "__position")
 
 
+def in_written_order(docs: DataFrame) -> DataFrame:
+    """The rows of a table of Parquet files that was written from in_order, in that order again.
+
+    Spark reads files by falling size, so the order is taken from the numbers of the part files and the rows' places in them."""
+    n = shuffle_partitions(docs.sparkSession)
+    keys = {"__part": F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long"), "__file": F.col("_metadata.file_name"), "__row": F.col("_metadata.row_index")}
+    placed = docs.select("*", *(c.alias(k) for k, c in keys.items()))
+    return placed.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop(*keys)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tests.llm.test_jaccard import plain as plain_groups
 from tests.llm.test_substrings import plain as plain_cuts
 
+from tessel.llm import mixing
 from tessel.llm.common import Scratch, table
 
 
@@ -44,3 +45,31 @@ def test_stages_in_turn(spark, sf_dir):
 def test_run_gives_the_packed_pieces(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     assert got.agg(F.sum("length")).first()[0] > 0 and corpus_pipeline.ORACLE_SQL is None
+
+
+def mixed_run(spark, folder, monkeypatch):
+    """The last two stages over documents whose texts grow with their place in the mix, so that Spark reads later files first; and the mix."""
+    small = spark.createDataFrame([(i, "abc"[min(i % 7, 2)]) for i in range(3000)], "doc_id long, source string")
+    order = mixing.mix_sources(small).orderBy("__position").toPandas()
+    place = {i: k for k, i in enumerate(order.doc_id)}
+    rows = [(r.doc_id, r.source, " ".join(str(r.doc_id * j % 9973) for j in range(1 + place[r.doc_id] // 20))) for r in small.collect()]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-2:])
+    return corpus_pipeline.run(spark, str(folder)), order
+
+
+def test_sequences_of_a_run_follow_the_mix(spark, tmp_path, monkeypatch):
+    got, order = mixed_run(spark, tmp_path, monkeypatch)
+    got = got.select("doc_id", "start", "sequence_id").toPandas().sort_values("sequence_id")
+    assert got.sequence_id.is_unique
+    assert got[got.start == 0].doc_id.tolist() == order.doc_id.tolist()
+    source = order.set_index("doc_id").source
+    mixed = source[got[got.start == 0].doc_id].tolist()
+    weight = {s: n**0.5 for s, n in source.value_counts().items()}
+    least = min(max(k for k, s in enumerate(mixed) if s == x) for x in weight)
+    for x, w in weight.items():
+        done = 0
+        for k in range(least):
+            if k % 64 == 0:
+                assert abs(done - w / sum(weight.values()) * k) < 64
+            done += mixed[k] == x
