@@ -1,10 +1,12 @@
 """Mixing sources to target weights by Pfair scheduling (op 2).
 
-Each source's rows, in hash order, form blocks of ``block_rows``. With a share of q of ``resolution`` slots, a source's block
-j may be released at slot floor(j * resolution / q) and is due at ceil((j + 1) * resolution / q); earliest deadline first
-fills the slots. The schedule repeats after ``resolution`` slots, so it is a table of that size whatever the number of
-rows, and at every slot each source is less than one block from its target. When a source has no more blocks the shares
-of the others are scaled up and a new phase begins: every row is placed, none is dropped or repeated.
+Each source's rows, in hash order, form blocks of ``block_rows``. A source's target grows by its share of the weights of the
+sources that have something left, so that at slot t the targets sum to t. Its block j may be released at the slot in which
+its target passes j blocks and is due when it reaches j + 1; earliest deadline first fills the slots. Such a schedule
+always exists, and in it each source is less than one block from its target at every slot, to the end of the table.
+Targets are exact: weights are taken as the rational numbers that the floats are, and nothing is rounded but the releases
+(down) and deadlines (up). When a source's target has reached its size the shares of the others are scaled up: every
+row is placed, none is dropped or repeated. The schedule is one sequential chain with one step a block.
 
 Ranks within a source come from one range-partitioned sort by (source, hash), which spreads a source of any size over
 tasks, plus the counts of each partition's share; nothing but those counts is collected. Sources beyond ``max_sources``
@@ -15,7 +17,12 @@ ones where weights are given, come after all others have ended, by size. An empt
 
 from __future__ import annotations
 
-import numpy as np
+import heapq
+import itertools
+import math
+from collections.abc import Iterator
+from fractions import Fraction
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,53 +31,73 @@ from .common import Scratch, shuffle_partitions
 POOL = "\x00pool"
 
 
-def shares(weights: list[float], resolution: int) -> list[int]:
-    """Whole slots in proportion to the weights, one at least, by largest remainders."""
-    total = sum(weights)
-    exact = [w / total * resolution for w in weights]
-    out = [max(1, int(x)) for x in exact]
-    order = sorted(range(len(out)), key=lambda i: (-(exact[i] - int(exact[i])), i))
-    i = 0
-    while sum(out) != resolution:
-        j = order[i % len(out)]
-        i += 1
-        if sum(out) < resolution:
-            out[j] += 1
-        elif out[j] > 1:
-            out[j] -= 1
-    return out
+def whole_weights(weights: list[float]) -> list[int]:
+    """Integers in exactly the proportion of the (finite) weights."""
+    exact = [Fraction(w) for w in weights]
+    scale = math.lcm(*(x.denominator for x in exact))
+    out = [int(x * scale) for x in exact]
+    common = math.gcd(*out) or 1
+    return [x // common for x in out]
+
+
+def schedule(blocks: list[int], weights: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(source, block, slot, release, deadline) slot by slot, for positive weights: of the released blocks the one that is due first, then the smaller source."""
+    live = [i for i, n in enumerate(blocks) if n]
+    ends = sorted(live, key=lambda i: Fraction(blocks[i], weights[i]))  # as their shares are used up
+    gone = [0, *itertools.accumulate(blocks[i] for i in ends)]
+    rest = [*itertools.accumulate((weights[i] for i in reversed(ends)), initial=0)][::-1]
+
+    def when(i: int, j: int) -> tuple[int, int]:
+        """The slots, rounded down and up, at which the share of source i amounts to j blocks: the sum over all sources k of min(blocks[k], weights[k] * j / weights[i])."""
+        w, low, high = weights[i], 0, len(ends)
+        while low < high:
+            mid = (low + high) // 2
+            if blocks[ends[mid]] * w <= j * weights[ends[mid]]:
+                low = mid + 1
+            else:
+                high = mid
+        whole, part = divmod(rest[low] * j, w)
+        return gone[low] + whole, gone[low] + whole + (part > 0)
+
+    waiting, ready = [(0, i, 0, when(i, 1)) for i in live], []
+    heapq.heapify(waiting)
+    for t in range(sum(blocks)):
+        while waiting and waiting[0][0] <= t:
+            release, i, j, due = heapq.heappop(waiting)
+            heapq.heappush(ready, (due[1], i, j, release, due[0]))
+        deadline, i, j, release, after = heapq.heappop(ready)
+        if deadline <= t:
+            raise AssertionError("a block is late")
+        yield i, j, t, release, deadline
+        if j + 1 < blocks[i]:
+            heapq.heappush(waiting, (after, i, j + 1, when(i, j + 2)))
+
+
+def whole_schedule(blocks: list[int], weights: list[float]) -> Iterator[tuple[int, int, int, int, int]]:
+    """schedule of the sources with weights, and after it that of the others by their size."""
+    base = 0
+    for those in ([i for i, w in enumerate(weights) if w > 0], [i for i, w in enumerate(weights) if not w > 0]):
+        if those:
+            level = [weights[i] if weights[i] > 0 else blocks[i] or 1 for i in those]
+            for k, j, *at in schedule([blocks[i] for i in those], whole_weights(level)):
+                yield those[k], j, *(base + x for x in at)
+            base += sum(blocks[i] for i in those)
 
 
 def pfair(q: list[int]) -> list[list[int]]:
-    """Slots of every source's blocks in one period: of the released blocks the one that is due first, then the smaller source."""
-    period, slots = sum(q), [[] for _ in q]
-    for t in range(period):
-        due = [(-(-(len(s) + 1) * period // n), i) for i, (s, n) in enumerate(zip(slots, q, strict=True)) if len(s) < n and len(s) * period // n <= t]
-        deadline, i = min(due)
-        if deadline <= t:
-            raise AssertionError("a block is late")
+    """Slots of every source's blocks, where each source has as many blocks as its share of the slots."""
+    slots: list[list[int]] = [[] for _ in q]
+    for i, _, t, *_ in schedule(q, q):
         slots[i].append(t)
     return slots
 
 
 def phases(blocks: list[int], weights: list[float], resolution: int) -> list[tuple[int, int, int, int, int, int, list[int]]]:
-    """(source, first block, end block, first slot, share, period, slots in the period) of each phase and source."""
-    left, done, base, out = list(blocks), [0] * len(blocks), 0, []
-    while any(left):
-        active = [i for i, n in enumerate(left) if n and weights[i] > 0] or [i for i, n in enumerate(left) if n]
-        level = [weights[i] if weights[i] > 0 else float(blocks[i]) for i in active]
-        period = max(resolution, len(active))
-        q = shares(level, period)
-        table = pfair(q)
-        end = min(((left[i] - 1) // n) * period + t[(left[i] - 1) % n] + 1 for i, n, t in zip(active, q, table, strict=True))
-        for i, n, t in zip(active, q, table, strict=True):
-            took = end // period * n + int(np.searchsorted(t, end % period))
-            if took:
-                out.append((i, done[i], done[i] + took, base, n, period, t))
-            done[i] += took
-            left[i] -= took
-        base += end
-    return out
+    """(source, first block, end block, first slot, share, period, slots in the period) of each source. The schedule is exact, so all slots are one period whatever the resolution."""
+    slots: list[list[int]] = [[] for _ in blocks]
+    for i, _, t, *_ in whole_schedule(blocks, weights):
+        slots[i].append(t)
+    return [(i, 0, n, 0, n, sum(blocks), slots[i]) for i, n in enumerate(blocks) if n]
 
 
 def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, block_rows: int = 64, resolution: int = 1000, max_sources: int = 200, seed: int = 1, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
@@ -98,20 +125,12 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
         total[r["__class"]] += r.n
     names = [x for x in names if total[x]]
     level = [float((weights or {}).get(x, 0)) if weights is not None else total[x] ** power for x in names]
-    plan = phases([-(-total[x] // block_rows) for x in names], level, resolution)
-    rows = [(names[i], *rest) for i, *rest in plan]
-    table = F.broadcast(spark.createDataFrame(rows, "__c string, __first long, __end long, __base long, __share long, __period long, __slots array<int>"))
+    rows = [(names[i], *rest) for i, *rest in whole_schedule([-(-total[x] // block_rows) for x in names], level)]
+    table = spark.createDataFrame(rows, "__c string, __b long, __slot long, __release long, __deadline long")
     start = F.broadcast(spark.createDataFrame(starts, "__c string, __p long, __start long"))
     got = ordered.join(start, F.col("__class").eqNullSafe(F.col("__c")) & (F.col("__part") == F.col("__p"))).drop("__c", "__p")
     got = got.withColumn("__rank", F.col("__at") + F.col("__start")).withColumn("__block", F.expr(f"__rank div {block_rows}"))
-    got = got.join(table, F.col("__class").eqNullSafe(F.col("__c")) & (F.col("__block") >= F.col("__first")) & (F.col("__block") < F.col("__end")))
-    got = got.withColumn("__j", F.col("__block") - F.col("__first"))
-    whole = F.col("__base") + F.expr("(__j div __share) * __period")
-    got = got.withColumns({
-        "__slot": whole + F.get("__slots", F.pmod(F.col("__j"), F.col("__share")).cast("int")),
-        "__release": F.col("__base") + F.expr("(__j * __period) div __share"),
-        "__deadline": F.col("__base") + F.expr("((__j + 1) * __period + __share - 1) div __share"),
-    })
+    got = got.join(table, F.col("__class").eqNullSafe(F.col("__c")) & (F.col("__block") == F.col("__b")))
     got = got.withColumn("__position", F.col("__slot") * block_rows + F.pmod(F.col("__rank"), F.lit(block_rows)))
     return got.select(*docs.columns, "__block", "__release", "__deadline", "__slot", "__position")
 

@@ -38,6 +38,39 @@ def test_phases_place_every_block_once():
         assert set(used.values()) <= {1} and sum(used.values()) == sum(blocks)
 
 
+def test_sources_stay_within_a_block_of_exact_weights_to_the_end():
+    for blocks, weights in (([20000] + [2000] * 19, [20000**0.5] + [2000**0.5] * 19), ([9000, 5], [1.0, 1 / 3000]), ([3, 500, 40, 1, 700], [0.3, 2.5, 1 / 3, 7.0, 1e-9])):
+        got = list(mixing.whole_schedule(blocks, weights))
+        assert [t for _, _, t, *_ in got] == list(range(sum(blocks)))
+        assert all(release <= t < deadline for _, _, t, release, deadline in got)
+        done, target = np.zeros(len(blocks)), np.zeros(len(blocks))
+        for i, j, *_ in got:
+            assert done[i] == j
+            done[i] += 1
+            room = 1.0  # one more slot is shared out by the weights of those that are below their size
+            while room > 1e-9:
+                w = np.where(target < np.array(blocks) - 1e-7, weights, 0.0)
+                if not w.any():
+                    break
+                step = min(room, min((n - x) * w.sum() / y for n, x, y in zip(blocks, target, w) if y))
+                target += step * w / w.sum()
+                room -= step
+            assert np.abs(done - target).max() < 1 + 1e-4
+
+
+def test_exact_weights_over_many_rows(spark):
+    rows = spark.range(120_000).selectExpr("id AS doc_id", "if(id % 3 = 0, 's0', concat('s', id % 19 + 1)) AS source")
+    got = mixing.mix_sources(rows, block_rows=4, resolution=100).select("source", "__block", "__slot", "__release", "__deadline").distinct().toPandas()
+    n = rows.groupBy("source").count().toPandas().set_index("source")["count"]
+    share = (n**0.5) / (n**0.5).sum()
+    assert ((got["__slot"] >= got["__release"]) & (got["__slot"] < got["__deadline"])).all()
+    least = got.groupby("source")["__slot"].max().min()
+    for s in n.index:
+        mine = np.sort(got[got.source == s]["__slot"].to_numpy())
+        t = np.arange(1, least + 1)
+        assert np.abs(np.searchsorted(mine, t) - share[s] * t).max() < 1 + 1e-6
+
+
 def test_mixing_places_every_row_within_a_block_of_its_target(spark):
     rows = [(i, "a" if i % 3 == 0 else "b" if i % 2 else None if i % 7 == 0 else "c", i) for i in range(5000)] + [(7, "b", 7)] * 3 + [(None, "a", 1)]
     df = spark.createDataFrame(rows, "doc_id long, source string, slot long")
