@@ -9,8 +9,10 @@ Targets are exact: weights are taken as the rational numbers that the floats are
 row is placed, none is dropped or repeated. The schedule is one sequential chain with one step a block.
 
 Ranks within a source come from one range-partitioned sort by (source, hash), which spreads a source of any size over
-tasks, plus the counts of each partition's share; nothing but those counts is collected. Sources beyond ``max_sources``
-(the largest have their own share) take turns as one pooled source.
+tasks, plus the counts of each partition's share; nothing is collected. Every source is scheduled by itself, however
+many there are: one task holds a row for each source and writes the schedule, a row for each block, as a table. The
+counts are broadcast for up to ``max_sources`` sources or so, the schedule up to BROADCAST_BLOCKS; beyond, both are joined
+by a shuffle.
 
 A null source is a source of its own. Null ids and repeated rows are rows like others. Weights of 0 or less, or missing
 ones where weights are given, come after all others have ended, by size. An empty table: no rows."""
@@ -23,12 +25,15 @@ import math
 from collections.abc import Iterator
 from fractions import Fraction
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import Scratch, shuffle_partitions
 
-POOL = "\x00pool"
+#: Larger tables of blocks are joined by a shuffle.
+BROADCAST_BLOCKS = 100_000
 
 
 def whole_weights(weights: list[float]) -> list[int]:
@@ -104,30 +109,30 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     """All columns of ``docs`` and __block, __release, __deadline, __slot, __position. Without weights a source's weight is its number of rows to ``power``."""
     spark = docs.sparkSession
     store, n = Scratch(spark, "mixing"), shuffle_partitions(spark)
-    drawn = docs.withColumn("__hash", F.xxhash64(F.lit(seed), F.col(id_col)))
-    counts = docs.groupBy(F.col(source_col).alias("s")).agg(F.count("*").alias("n"))
-    large = counts.orderBy(F.desc("n"), "s").limit(max_sources + 1).collect()
-    names = [r.s for r in large] if len(large) <= max_sources else [r.s for r in large[: max_sources - 1]]
-    class_of = F.col(source_col)
-    if len(large) > max_sources:
-        known = F.broadcast(spark.createDataFrame([(x,) for x in names], "__known string"))
-        drawn = drawn.join(known, F.col(source_col).eqNullSafe(F.col("__known")), "left")
-        class_of = F.when(F.col("__known").isNotNull() | (F.col(source_col).isNull() & F.lit(None in names)), F.col(source_col)).otherwise(POOL)
-        names.append(POOL)
-    drawn = drawn.withColumn("__class", class_of).drop("__known")
+    kind = docs.schema[source_col].dataType
+    drawn = docs.withColumn("__class", F.col(source_col)).withColumn("__hash", F.xxhash64(F.lit(seed), F.col(id_col)))
     ordered = drawn.repartitionByRange(n, "__class", "__hash", id_col).sortWithinPartitions("__class", "__hash", id_col).withColumn("__at", F.monotonically_increasing_id())
     ordered = store.save(ordered, "ordered").withColumn("__part", F.shiftright("__at", 33))
-    parts = sorted(ordered.groupBy("__class", "__part").agg(F.count("*").alias("n"), F.min("__at").alias("lo")).collect(), key=lambda r: r["__part"])
-    total: dict = dict.fromkeys(names, 0)
-    starts = []
-    for r in parts:
-        starts.append((r["__class"], r["__part"], total[r["__class"]] - r.lo))
-        total[r["__class"]] += r.n
-    names = [x for x in names if total[x]]
-    level = [float((weights or {}).get(x, 0)) if weights is not None else total[x] ** power for x in names]
-    rows = [(names[i], *rest) for i, *rest in whole_schedule([-(-total[x] // block_rows) for x in names], level)]
-    table = spark.createDataFrame(rows, "__c string, __b long, __slot long, __release long, __deadline long")
-    start = F.broadcast(spark.createDataFrame(starts, "__c string, __p long, __start long"))
+    parts = store.save(ordered.groupBy(F.col("__class").alias("__c"), F.col("__part").alias("__p")).agg(F.count("*").alias("n"), F.min("__at").alias("lo")), "parts")
+    before = F.sum("n").over(Window.partitionBy("__c").orderBy("__p")) - F.col("n")
+    start = parts.select("__c", "__p", (before - F.col("lo")).alias("__start"))
+    sources = parts.groupBy("__c").agg(F.sum("n").alias("n"))
+    fields = [("__c", kind), *((c, LongType()) for c in ("__b", "__slot", "__release", "__deadline"))]
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(i, k) for batch in batches for i, k in zip(batch.column(0), batch.column(1).to_pylist(), strict=True)]
+        held = sorted(((s.as_py(), s, k) for s, k in held), key=lambda x: (-x[2], x[0] is not None, x[0] if x[0] is not None else 0))
+        level = [float((weights or {}).get(x, 0)) if weights is not None else k**power for x, _, k in held]
+        rows = whole_schedule([-(-k // block_rows) for *_, k in held], level)
+        while some := list(itertools.islice(rows, 1 << 16)):
+            columns = list(zip(*some, strict=True))
+            names = pa.array([held[i][0] for i in columns[0]], held[0][1].type)
+            yield pa.RecordBatch.from_arrays([names, *(pa.array(c, pa.int64()) for c in columns[1:])], [c for c, _ in fields])
+
+    table = store.save(sources.coalesce(1).mapInArrow(plan, StructType([StructField(*f) for f in fields])), "schedule")
+    few = parts.limit(max_sources * n + 1).count() <= max_sources * n
+    small = table.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS
+    start, table = F.broadcast(start) if few else start.hint("merge"), F.broadcast(table) if small else table.hint("merge")
     got = ordered.join(start, F.col("__class").eqNullSafe(F.col("__c")) & (F.col("__part") == F.col("__p"))).drop("__c", "__p")
     got = got.withColumn("__rank", F.col("__at") + F.col("__start")).withColumn("__block", F.expr(f"__rank div {block_rows}"))
     got = got.join(table, F.col("__class").eqNullSafe(F.col("__c")) & (F.col("__block") == F.col("__b")))

@@ -97,6 +97,26 @@ def test_mixing_pools_small_sources(spark):
     assert got.count() == 800 and got.select("__position").distinct().count() == 800
 
 
+def test_every_source_is_scheduled_by_itself(spark, monkeypatch):
+    rows = [(i, f"s{i % 299}" if i % 2 else None if i % 4 else "big") for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    weights = {f"s{k}": 1.0 + k % 3 for k in range(299)} | {"big": 20.0, None: 10.0}
+    for given in (None, weights):
+        got = mixing.mix_sources(df, given, block_rows=2).toPandas()
+        assert ((got["__slot"] >= got["__release"]) & (got["__slot"] < got["__deadline"])).all()
+        assert got.fillna({"source": "-"}).groupby("__slot").source.nunique().max() == 1
+        size = Counter(r[1] for r in rows)
+        w = {s: given[s] if given else n**0.5 for s, n in size.items()}
+        least = min(-(-size[s] // 2) / w[s] for s in w) * sum(w.values())  # before any source's target is used up
+        for s in w:
+            mine = got[(got.source.isna() if s is None else got.source == s) & (got["__slot"] < least - 1)]["__slot"].drop_duplicates().sort_values().to_numpy()
+            t = np.arange(1, int(least))
+            assert np.abs(np.searchsorted(mine, t) - w[s] / sum(w.values()) * t).max() < 1 + 1e-6
+    monkeypatch.setattr(mixing, "BROADCAST_BLOCKS", 10)
+    by_shuffle = mixing.mix_sources(df, weights, block_rows=2, max_sources=1).toPandas()
+    assert sorted(zip(by_shuffle.doc_id, by_shuffle["__position"])) == sorted(zip(got.doc_id, got["__position"]))
+
+
 def test_packing_is_an_exact_round_trip(spark):
     df, rows = frame(spark)
     t = tokenizers.Tokenizer.from_file(place("word_bpe_49k.json"))
