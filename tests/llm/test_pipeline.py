@@ -1,6 +1,9 @@
 """The pipeline's stages on the small tables, each against a plain form of its rule."""
 
+import zlib
+
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
 from tests.llm.test_jaccard import plain as plain_groups
 from tests.llm.test_substrings import plain as plain_cuts
@@ -73,3 +76,8 @@ def test_sequences_of_a_run_follow_the_mix(spark, tmp_path, monkeypatch):
             if k % 64 == 0:
                 assert abs(done - w / sum(weight.values()) * k) < 64
             done += mixed[k] == x
+
+
+def test_a_run_gives_the_ids_of_its_sequences(spark, tmp_path, monkeypatch):
+    got = mixed_run(spark, tmp_path, monkeypatch)[0].limit(200).toPandas()
+    assert len(got) and all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got.itertuples())
