@@ -2,8 +2,12 @@
 
 A document's ids (its tokens and an end id) are cut into as many pieces of ``width`` as fit and then into pieces whose
 lengths are the binary digits of the rest, largest first. Every piece is a sequence of its own: a power of two needs no
-padding, equal lengths are batched together (``bucket`` is the length), and no sequence crosses documents. Map-only: no
-shuffle and nothing gathered. The numbers of the sequences come from the partition and the row's place in it.
+padding and no sequence crosses documents. The numbers of the sequences come from the partition and the row's place in it,
+so they follow the order of the documents.
+
+Equal lengths are batched together (``bucket`` is the length): the pieces are written once to the shared folder and then
+dealt by bucket, in each task by bucket and number. A bucket of any size is spread over as many tasks as its rows and ids
+need: no task gets more than about twice the mean of either. Only the buckets' counts are collected, one for each power of two.
 
 Null and empty texts have the end id only. Repeated rows and null ids are packed as further documents. Empty: empty."""
 
@@ -18,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import library_codec
-from .common import text_slices
+from .common import Scratch, shuffle_partitions, text_slices
 
 
 def binary_pieces(n: int, width: int) -> list[tuple[int, int]]:
@@ -65,4 +69,23 @@ def pack(docs: DataFrame, vocabulary: str, width: int = 4096, end_id: int = 2, w
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * with_ids)
     more = ["ids"] * with_ids
-    return out.select(F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.col("length").alias("bucket"), *more)
+    out = out.select(F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.col("length").alias("bucket"), *more)
+    return by_bucket(Scratch(docs.sparkSession, "packing").save(out, "pieces"))
+
+
+def by_bucket(pieces: DataFrame) -> DataFrame:
+    """The pieces with equal buckets together: a task has a share of one bucket or some whole neighbours, and what is left of others at its ends."""
+    n = shuffle_partitions(pieces.sparkSession)
+    counts = dict(sorted((r["bucket"], r["count"]) for r in pieces.groupBy("bucket").count().collect()))
+    rows, ids = sum(counts.values()), sum(b * k for b, k in counts.items())
+    at, begin, room = 0.0, [], []
+    for b, k in counts.items():
+        weight = (b * k / ids + k / rows) / 2  # rows and ids count alike
+        begin += [F.lit(b), F.lit(at)]
+        room += [F.lit(b), F.lit(weight)]
+        at += weight
+    if not counts:
+        return pieces
+    salt = F.pmod(F.xxhash64("sequence_id"), F.lit(1 << 20)) / float(1 << 20)
+    place = F.create_map(*begin)[F.col("bucket")] + salt * F.create_map(*room)[F.col("bucket")]
+    return pieces.repartitionById(n, F.least(F.floor(place * n), F.lit(n - 1)).cast("int")).sortWithinPartitions("bucket", "sequence_id")

@@ -134,6 +134,19 @@ def test_packing_is_an_exact_round_trip(spark):
     assert back == want
 
 
+def test_pieces_of_a_bucket_are_together(spark):
+    df = spark.createDataFrame([(i, "word " * (i * 37 % 3000)) for i in range(1500)], "doc_id long, text string").repartition(6)
+    packed = packing.pack(df, "word_bpe_49k.json", with_ids=True)
+    got = packed.withColumn("task", F.spark_partition_id()).select("task", "bucket", "length", "sequence_id").toPandas()
+    assert (got.bucket == got.length).all()
+    for _, mine in got.groupby("task", sort=False):
+        assert list(zip(mine.bucket, mine.sequence_id)) == sorted(zip(mine.bucket, mine.sequence_id))
+    spans = got.groupby("task").bucket.agg(["min", "max"]).sort_index()
+    assert len(spans) == 4 and (spans["min"].to_numpy()[1:] >= spans["max"].to_numpy()[:-1]).all()
+    each = got.groupby("task").agg(rows=("length", "size"), ids=("length", "sum"))
+    assert (each <= 2.3 * each.sum() / 4).all().all()
+
+
 def test_permutation_is_a_bijection():
     for n in (1, 2, 3, 17, 1000, 4097):
         for key in (0, 5):
