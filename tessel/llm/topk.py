@@ -5,8 +5,8 @@ dense array of scores, a partition selection keeps the k best of a block, and bl
 blocks of bounded size: ``q_rows`` queries meet ``c_rows`` candidates in a task; neither side is broadcast or collected.
 
 Vectors that are null or hold null or non-finite components take no part, nor do null ids. An id that is repeated counts
-once, with its smallest row. Shorter vectors lack the further terms. Scaled components beyond 32 bits are held at that
-bound, else scores wouldn't fit a long. Ties go to the smaller id. Fewer candidates than k: all of them. Empty: empty."""
+once, with its smallest row. Shorter vectors lack the further terms. Components and scores are 64-bit integers; a scaled
+component or a score of two rows that doesn't fit one is an error. Ties go to the smaller id. Fewer candidates than k: all of them. Empty: empty."""
 
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ from .common import Scratch, salted
 
 
 def integer_rows(df: DataFrame, scale: float, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, terms): floor(scale * x) of the usable vectors as 32-bit integers."""
+    """(vec_id, terms): floor(scale * x) of the usable vectors as 64-bit integers."""
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -33,7 +33,10 @@ def integer_rows(df: DataFrame, scale: float, id_col: str, vec_col: str) -> Data
                 x = np.asarray(v.values.to_numpy(zero_copy_only=False), np.float64)
                 if np.isfinite(x).all():
                     ids.append(i)
-                    rows.append(np.clip(np.floor(scale * x), -(2**31), 2**31 - 1).astype("<i4").tobytes())
+                    whole = np.floor(scale * x)
+                    if (np.abs(whole) >= 2.0**63).any():
+                        raise OverflowError(f"vector {i}: a scaled component doesn't fit a long")
+                    rows.append(whole.astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.binary())], ["vec_id", "terms"])
 
     got = df.select(F.col(id_col).cast("long"), F.col(vec_col)).mapInArrow(convert, "vec_id long, terms binary")
@@ -41,7 +44,7 @@ def integer_rows(df: DataFrame, scale: float, id_col: str, vec_col: str) -> Data
 
 
 def _matrix(rows: pd.Series) -> np.ndarray:
-    parts = [np.frombuffer(r, "<i4") for r in rows]
+    parts = [np.frombuffer(r, "<i8") for r in rows]
     out = np.zeros((len(parts), max(map(len, parts), default=0)), np.int64)
     for i, p in enumerate(parts):
         out[i, : len(p)] = p
@@ -76,13 +79,22 @@ def _best(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFra
     candidates = candidates.sort_values("vec_id")
     cid, cm = candidates.vec_id.to_numpy(np.int64), _matrix(candidates.terms)
     qid, qm = queries.vec_id.to_numpy(np.int64), _matrix(queries.terms)
-    top = int(np.abs(qm).max(initial=0)) * int(np.abs(cm).max(initial=0)) * max(cm.shape[1], 1)
-    index = Postings(cm, np.int32 if top < 2**31 else np.int64)
+    terms = min(qm.shape[1], cm.shape[1])
+    most = [np.abs(m[:, :terms]).max(axis=0, initial=0).tolist() for m in (qm, cm)]
+    top = sum(a * b for a, b in zip(*most, strict=True))  # of no score's terms is the sum larger
+    index = Postings(cm, np.int32 if max(top, *map(int, (np.abs(qm).max(initial=0), np.abs(cm).max(initial=0)))) < 2**31 else np.int64)
     own = np.searchsorted(cid, qid)
     out: list[tuple[np.ndarray, ...]] = []
     for q, row, at in zip(qid, qm, own, strict=True):
         scores, want = index.scores(row), k
         mine = at < len(cid) and cid[at] == q
+        if top >= 2**63:  # sums may not fit a long, so they are made of Python's integers
+            exact = cm[:, :terms].astype(object) @ row[:terms].astype(object)
+            if mine:
+                exact[at] = 0
+            if max(map(abs, exact), default=0) >= 2**63:
+                raise OverflowError(f"query {q}: a score doesn't fit a long")
+            scores = exact.astype(np.int64)
         if mine:
             want += 1  # its own row is among the best or not; it goes afterwards
         keep = np.arange(len(cid))

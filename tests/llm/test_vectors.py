@@ -93,3 +93,9 @@ def test_topk_with_fewer_candidates_than_k_and_ties(spark):
     df = spark.createDataFrame([(i, [1.0, 0.0], 1, "") for i in (40, 3, 1, 2)], SCHEMA)
     got = [(r["rank"], r.vec_id, r.score) for r in top_inner_products(df, F.col("vec_id") % 20 == 0).orderBy("rank").collect()]
     assert got == [(1, 1, 4096), (2, 2, 4096), (3, 3, 4096)]
+
+
+def test_topk_of_large_components(spark):
+    df = spark.createDataFrame([(20, [2.0**27, 1.0], 1, ""), (1, [2.0**21, 1.0], 1, ""), (2, [0.5, 3.0], 1, ""), (3, [-(2.0**20), 0.0], 1, "")], SCHEMA)
+    got = [(r.vec_id, r.score) for r in top_inner_products(df, F.col("vec_id") == 20).orderBy("rank").collect()]
+    assert got == [(1, 2**60 + 4096), (2, 2**38 + 3 * 4096), (3, -(2**59))]
