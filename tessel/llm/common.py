@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Iterator
 
@@ -21,33 +22,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Scratch:
     """Tables written once to the folder all executors share, so that later reads need no lineage.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one machine)
-    a folder below the warehouse is used."""
+    The folder is the session's ``spark.checkpoint.dir`` or the context's checkpoint folder. Only on one machine (a local
+    master) a folder below the warehouse stands in; elsewhere their lack is an error. What a returned plan still reads is
+    deleted when the application ends."""
+
+    _open: set[Scratch] = set()
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir isn't set: the operators need a folder that all executors share")
             base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        if not Scratch._open:
+            atexit.register(Scratch._end)
+        Scratch._open.add(self)
+
+    @staticmethod
+    def _end() -> None:
+        for s in Scratch._open:
+            if not s.spark.sparkContext._jsc or s.spark.sparkContext._jsc.sc().isStopped():
+                continue
+            s._delete(s.root)
+
+    def _folder(self, path: str) -> tuple:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _delete(self, path: str) -> None:
+        folder, fs = self._folder(path)
+        fs.delete(folder, True)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._delete(f"{self.root}/{name}")
 
-
-    def keep_only(self, name: str) -> None:
+    def keep_only(self, *names: str) -> None:
         """Deletes the tables of this scratch that nothing needs any more."""
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        folder, fs = self._folder(self.root)
         for status in fs.listStatus(folder):
-            if status.getPath().getName() != name:
+            if status.getPath().getName() not in names:
                 fs.delete(status.getPath(), True)
 
 
@@ -76,14 +97,17 @@ _INV = np.ones(1, np.uint64)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd multiplier modulo 2**64, and of its inverse."""
+    """Powers of an odd multiplier modulo 2**64, and of its inverse; those of a window or so are kept."""
     global _POW, _INV
-    if len(_POW) < n:
-        size = 1 << (n - 1).bit_length()
-        p, q = np.full(size, _MULT, np.uint64), np.full(size, pow(_MULT, -1, 1 << 64), np.uint64)
-        p[0] = q[0] = 1
-        _POW, _INV = np.cumprod(p), np.cumprod(q)
-    return _POW, _INV
+    if len(_POW) >= n:
+        return _POW, _INV
+    size = 1 << (n - 1).bit_length()
+    p, q = np.full(size, _MULT, np.uint64), np.full(size, pow(_MULT, -1, 1 << 64), np.uint64)
+    p[0] = q[0] = 1
+    p, q = np.cumprod(p, out=p), np.cumprod(q, out=q)
+    if size <= 4 * CHUNK_BYTES:
+        _POW, _INV = p, q
+    return p, q
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -101,22 +125,55 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def word_hashes(texts: list[bytes], separator: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of the texts, A-Z lower-cased, in order, and each text's number of words.
-
-    Words are maximal runs of bytes that ``separator`` (a mask of 256) doesn't mark. One pass of array operations."""
-    sep = bytes([int(np.flatnonzero(separator)[0])])
-    buf = LOWER[np.frombuffer(sep.join(texts) + sep, np.uint8)]
+def _raw_hashes(buf: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and polynomial of each word of lower-cased bytes: the sum of (byte + 1) * multiplier ** place in the word."""
     gap = separator[buf]
-    edge = np.flatnonzero(np.diff(gap.view(np.int8), prepend=1))
+    edge = np.flatnonzero(np.diff(gap.view(np.int8), prepend=1, append=1))
     start, end = edge[0::2], edge[1::2]
-    pw, inv = _powers(len(buf))
+    pw, inv = _powers(len(buf) + 1)
     total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * pw[: len(buf)], out=total[1:])
-    h = mix64((total[end] - total[start]) * inv[start])
+    return start, end, (total[end] - total[start]) * inv[start]
+
+
+def word_hashes(texts: list[bytes], separator: np.ndarray = SPACE, window: int = CHUNK_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts, A-Z lower-cased, in order, and each text's number of words.
+
+    Words are maximal runs of bytes that ``separator`` (a mask of 256) doesn't mark. One pass of array operations; a text of
+    more than ``window`` bytes is taken by windows, and a word that crosses them is put together from its parts."""
+    if any(len(t) > window for t in texts):
+        each = [_long_hashes(t, separator, window) for t in texts]
+        return mix64(np.concatenate(each)), np.array(list(map(len, each)), np.int64)
+    sep = bytes([int(np.flatnonzero(separator)[0])])
+    buf = LOWER[np.frombuffer(sep.join(texts) + sep, np.uint8)]
+    start, _, h = _raw_hashes(buf, separator)
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-    n = np.diff(np.searchsorted(start, ends), prepend=0)
-    return h, n
+    return mix64(h), np.diff(np.searchsorted(start, ends), prepend=0)
+
+
+def _long_hashes(text: bytes, separator: np.ndarray, window: int) -> np.ndarray:
+    """The polynomials of the words of one text."""
+    out: list[np.ndarray] = []
+    open_, length = 0, 0  # polynomial and length of the word that reaches the end of the window before
+    for at in range(0, len(text), window):
+        buf = LOWER[np.frombuffer(text, np.uint8, min(window, len(text) - at), at)]
+        start, end, h = _raw_hashes(buf, separator)
+        if length:
+            if len(start) and start[0] == 0:
+                h[0] = np.uint64((open_ + int(h[0]) * pow(_MULT, length, 1 << 64)) & (2**64 - 1))
+            else:
+                out.append(np.array([open_], np.uint64))
+                length = 0
+        if len(end) and end[-1] == len(buf):
+            whole = len(end) == 1 and start[0] == 0
+            open_, length = int(h[-1]), (length if whole else 0) + int(end[-1] - start[-1])
+            h = h[:-1]
+        else:
+            length = 0
+        out.append(h)
+    if length:
+        out.append(np.array([open_], np.uint64))
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
 def shingles(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -125,7 +182,8 @@ def shingles(texts: list[bytes], k: int) -> list[np.ndarray]:
     grams = np.zeros(len(h), np.uint64)
     for j in range(k):
         part = h[j:] if j else h
-        grams[: len(part)] += mix64(part + np.uint64((0x632BE59BD9B4E019 * (j + 1)) & (2**64 - 1)))
+        for s in range(0, len(part), CHUNK_BYTES):
+            grams[s : s + CHUNK_BYTES][: len(part) - s] += mix64(part[s : s + CHUNK_BYTES] + np.uint64((0x632BE59BD9B4E019 * (j + 1)) & (2**64 - 1)))
     out, at = [], 0
     for m in n.tolist():
         if m >= k:
@@ -153,30 +211,75 @@ def binary_column(parts: list[bytes]) -> pa.Array:
 # --- connected components ----------------------------------------------------------------------------------------
 
 
+#: Edges that a task contracts at once.
+CONTRACT_ROWS = 1 << 20
+
+
+def star_forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(root, node) for each node that isn't the smallest of its component of these edges."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    x, y, label = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while True:
+        a, b = label[x], label[y]
+        if (a == b).all():
+            break
+        low = np.minimum(a, b)
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        while (label[label] != label).any():
+            label = label[label]
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[label[moved]], nodes[moved]
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with the components of ``edges``: of each million or so in a task only the stars of its components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def close() -> pa.RecordBatch:
+            u, v = star_forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+        for b in batches:
+            if b.num_rows:
+                held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+            if sum(len(u) for u, _ in held) > CONTRACT_ROWS:
+                yield close()
+        if held:
+            yield close()
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): for every node of the edges the smallest node reachable. Large-star and small-star in turn.
+    """(node, component): for every node of the edges the smallest node reachable. Large-star and small-star in turn, and in every round
+    each task contracts its edges to stars, so that only the centres of stars have many.
 
-    Every round is written to the shared folder; nothing but one count comes to the driver. Edges with null ends and loops say nothing."""
-    e = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v").distinct()
-    e = scratch.save(e, f"{name}0")
+    Every round is written to the shared folder; nothing but one row at most comes to the driver. Sides are joined as written tables, so that
+    a centre's edges can be split. Edges with null ends and loops say nothing."""
+    e = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v")
+    e = scratch.save(_contracted(e), f"{name}0")
     for turn in range(1, 200):
+        ends = e.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.distinct().select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if not ends.groupBy("n").agg(F.max("up").alias("up"), F.sum("down").alias("down")).where("down > 1 OR up + down > 1").limit(1).count():
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        low = scratch.save(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), f"{name}low{turn}")
         # large star: each neighbour above u goes to the smallest around u
         large = e.join(low, "u").select("v", "m").where("m < v").union(e.join(low.withColumnRenamed("u", "w"), F.col("v") == F.col("w")).select("v", "m").where("m < v"))
         large = large.select(F.col("m").alias("u"), "v").distinct()
         # small star: each node and its smaller neighbours go to the smallest of them
         down = large.groupBy("v").agg(F.min("u").alias("m"))
-        new = large.join(down, "v").select(F.col("m").alias("p"), F.col("u").alias("q")).where("p < q").union(down.select(F.col("m").alias("p"), F.col("v").alias("q")))
-        new = scratch.save(new.select(F.col("p").alias("u"), F.col("q").alias("v")).distinct(), f"{name}{turn}")
-        scratch.drop(f"{name}{turn - 1}")
+        new = large.join(down, "v").select(F.col("m").alias("u"), F.col("u").alias("v")).where("u < v").union(down.select(F.col("m").alias("u"), "v"))
+        new = scratch.save(_contracted(new), f"{name}{turn}")
+        scratch.drop(f"{name}{turn - 1}", f"{name}low{turn}")
         e = new
-        ends = new.select("u").distinct().join(new.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
-        twice = new.groupBy("v").count().where("count > 1")
-        if not ends.limit(1).count() and not twice.limit(1).count():
-            break
     else:
         raise RuntimeError("components did not settle")
+    e = e.distinct()
     return e.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(e.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
 
 

@@ -1,14 +1,19 @@
 """Quality classifier: supervised subword embeddings (op 9).
 
 A document is the mean of learned vectors of its words and of its character n-grams, all hashed into one table, with a
-softmax over it; plain numpy stochastic gradient descent trains both on the driver. It is fit on a bounded sample of
-labelled rows (``per_class`` rows of each label, those of the smallest id hashes); every row of the table is scored, on
-executors, by one map-only pass. Scoring needs a single number per bucket (its vector times the difference of the two
-output rows), so 1 MB is all that is broadcast.
-
-Features: words, each word's shape, a mark where a word repeats the one before it, and all 2-, 3- and 4-byte runs.
+softmax over it; plain numpy stochastic gradient descent trains both. It is fit on a bounded sample of labelled rows, in one
+task of its own: at most ``per_class`` rows of each label (those of the smallest id hashes), and of these in hash order no
+more than ``sample_bytes`` of features (an id with several texts teaches with one). Every row of the table is scored, on executors, by one map-only pass. Scoring needs
+a single number per bucket (its vector times the difference of the two output rows): 1 MB is all that comes to the driver
+and is broadcast.
+
+Features: words, each word's shape, a mark where a word repeats the one before it, and all 2-, 3- and 4-byte runs. A text of
+more than BLOCK bytes is a row of blocks (cut after white space where there is any, the places depend on the text alone);
+each byte is in one block, and runs and words don't cross blocks. So a text of any length takes the memory of a block.
 Null and empty texts have no features and get the bias alone. Labels other than 0 and 1, ids labelled in two ways and
-null ids teach nothing; without labels of both kinds every score is the share of ones (or 1). Rows are independent."""
+null ids teach nothing; without labels of both kinds every score is the share of ones (or 1). Rows are independent. An
+empty table: no rows. Of further columns none is read but those that ``keep_columns`` returns; a column that has the name
+of the score is replaced by it."""
 
 from __future__ import annotations
 
@@ -24,8 +29,8 @@ from .bpe import release
 from .common import SPACE, _powers, mix64, text_slices
 
 BITS = 18
-#: Bytes of text whose features are held at once (about a hundred bytes each).
-FEATURE_CHUNK = 1 << 18
+#: Bytes of text whose features are held at once (some 200 bytes of memory each), and of a block.
+FEATURE_CHUNK = BLOCK = 1 << 18
 #: Letters, capitals, digits, bytes above ASCII, others.
 CLASS = np.full(256, 5, np.uint64)
 CLASS[97:123] = 1
@@ -74,16 +79,44 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return bucket[order], np.bincount(owner, minlength=len(texts))
 
 
+def blocks(text: bytes) -> Iterator[bytes]:
+    """A text in blocks of at most BLOCK bytes, cut after the last white space in the second half, if there is any."""
+    at = 0
+    while len(text) - at > BLOCK:
+        tail = np.flatnonzero(SPACE[np.frombuffer(text, np.uint8, BLOCK // 2, at + BLOCK // 2)])
+        end = at + (BLOCK // 2 + int(tail[-1]) + 1 if len(tail) else BLOCK)
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def shares(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's features and their shares of all its features."""
+    if len(text) <= BLOCK:
+        at, n = np.unique(features([text])[0], return_counts=True)
+    else:
+        count = np.zeros(1 << BITS, np.int64)
+        for part in blocks(text):
+            count += np.bincount(features([part])[0], minlength=1 << BITS)
+        at = np.flatnonzero(count)
+        n = count[at]
+    return at.astype("<i4"), (n / max(n.sum(), 1)).astype("<f4")
+
+
 @dataclass
 class Model:
     weight: np.ndarray  # of each bucket, float32
     bias: float
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        bucket, n = features(texts)
+        long_ = [i for i, t in enumerate(texts) if len(t) > BLOCK]
+        bucket, n = features([b"" if len(t) > BLOCK else t for t in texts])
         total = np.concatenate([[0.0], np.cumsum(self.weight[bucket], dtype=np.float64)])
         edge = np.concatenate([[0], np.cumsum(n)])
         mean = np.diff(total[edge]) / np.maximum(n, 1)
+        for i in long_:
+            parts = [(float(self.weight[x].sum(dtype=np.float64)), len(x)) for x in (features([p])[0] for p in blocks(texts[i]))]
+            mean[i] = sum(s for s, _ in parts) / max(sum(k for _, k in parts), 1)
         return 1 / (1 + np.exp(-np.clip(mean + self.bias, -40, 40)))
 
 
@@ -116,46 +149,55 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], dim: int = 8, epochs:
     return Model((vectors @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fits on at most ``per_class`` rows of either label; only their features come to the driver."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, sample_bytes: int = 256 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+    """Fits in one task on at most ``per_class`` rows of either label, which it takes by id hash until ``sample_bytes`` of features are held; only the model comes to the driver."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
     known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top").withColumn("h", F.xxhash64("id"))
     sample = known.where("y = 0").orderBy("h", "id").limit(per_class).unionByName(known.where("y = 1").orderBy("h", "id").limit(per_class))
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample.select("id", "y")), "id")
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample.select("id", "y", "h")), "id")
+    chosen = chosen.groupBy("h", "id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # one text of an id that has several
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, ys, cols = b.column(0), b.column(2), ([], [])
-            for t in b.column(1).to_pylist():
-                at, n = np.unique(features([(t or "").encode("utf-8", "surrogatepass")])[0], return_counts=True)
-                cols[0].append(at.astype("<i4").tobytes())
-                cols[1].append((n / max(n.sum(), 1)).astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([ids, ys, *(pa.array(c, pa.binary()) for c in cols)], ["id", "y", "at", "share"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    got = chosen.select("id", "text", "y").mapInArrow(digest, f"id {kind}, y int, at binary, share binary").toArrow().to_pandas().sort_values(["id", "at"])
-    rows = [(np.frombuffer(a, "<i4"), np.frombuffer(s, "<f4"), int(y)) for a, s, y in zip(got["at"], got["share"], got["y"], strict=True) if len(a)]
-    ones = sum(y for _, _, y in rows)
-    if not rows or ones in (0, len(rows)):
-        return Model(np.zeros(1 << BITS, np.float32), 40.0 if ones or not rows else -40.0)
-    return train(rows)
+            for i, t in enumerate(b.column(1)):
+                if t.is_valid and (raw := t.as_buffer().to_pybytes()):
+                    at, share = shares(raw)
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(2).slice(i, 1), pa.array([at.tobytes()], pa.binary()), pa.array([share.tobytes()], pa.binary())], ["h", "y", "at", "share"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        rows, held = [], 0
+        for b in batches:
+            for y, a, s in zip(b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                a, s = a.as_buffer().to_pybytes(), s.as_buffer().to_pybytes()
+                held += len(a) + len(s)
+                if held <= sample_bytes:
+                    rows.append((np.frombuffer(a, "<i4"), np.frombuffer(s, "<f4"), y))
+        ones = sum(y for *_, y in rows)
+        model = train(rows) if 0 < ones < len(rows) else Model(np.zeros(1 << BITS, np.float32), 40.0 if ones or not rows else -40.0)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weight.astype("<f4").tobytes()], pa.binary()), pa.array([model.bias])], ["weight", "bias"])
+
+    got = chosen.select("h", "text", "y").mapInArrow(digest, "h long, y int, at binary, share binary")
+    one = got.repartition(1).sortWithinPartitions("h", "y", "at").mapInArrow(learn, "weight binary, bias double").first()
+    return Model(np.frombuffer(one.weight, "<f4"), one.bias) if one else Model(np.zeros(1 << BITS, np.float32), 40.0)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False, name: str = "score") -> DataFrame:
     """(id, score), or all columns and the score."""
     held = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias))
-    cols = [c for c in docs.columns if c not in (name, text_col)] if keep_columns else [id_col]
-    ask = docs.select(*cols, F.col(text_col).alias("__text"))
-    names, kinds = cols + [text_col] * keep_columns, {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    names = [c for c in docs.columns if c != name] if keep_columns else [id_col]
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    own = names.index(text_col) if text_col in names else len(names)  # where the text is
+    ask = docs.select(*(F.col(f"`{c}`") for c in names), *([] if text_col in names else [F.col(f"`{text_col}`")]))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         m = Model(*held.value)
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
+            texts = b.column(own).to_pylist()
             for s, e in text_slices(texts, FEATURE_CHUNK):
                 got = m.scores([(t or "").encode("utf-8", "surrogatepass") for t in texts[s:e]])
                 part = b.slice(s, e - s)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(got, pa.float64())], [*names, name])
 
-    return ask.mapInArrow(rate, ", ".join(f"`{c}` {kinds[c]}" for c in names) + f", {name} double")
+    return ask.mapInArrow(rate, ", ".join(f"`{c}` {kinds[c]}" for c in names) + f", `{name}` double")
