@@ -8,14 +8,21 @@ then value, an order both sides share): of e + 1 equal segments at most e are le
 and, where partners may be smaller, in the band below. Candidates are verified by exact intersection counts.
 
 Sets that are equal are merged first. Then each bucket's members are compared to its smallest (a star, so a group of m
-copies costs m rows), verified links are joined to components, and only buckets that still hold several components are
-compared in full, by blocks of bounded size with the Hamming bound: a pair within a component could add nothing. So no
-pair of a group is listed for its own sake, yet no link between components is lost. Before the sets of two candidates
-are fetched their sketches are: a pair beyond the Hamming bound needs no more.
+copies costs m rows) and verified links are joined to components. While large buckets still hold several components, what
+isn't in their smallest member's component is compared to its own smallest, and so on; only buckets that hold several
+components after that are compared in full, by blocks of bounded size with the Hamming bound: a pair within a component
+could add nothing. So no pair of a group is listed for its own sake, yet no link between components is lost. Before the
+sets of two candidates are fetched their sketches are: a pair beyond the Hamming bound needs no more.
+
+No bucket passes through one task: its smallest member and size are aggregated (combined before the shuffle) and joined to
+its rows, a join whose hot keys Spark splits; so are the rows of one set of copies. The sides of such joins are written
+tables, since a side that is aggregated in the same stage can't be split.
 
 Words are runs of what isn't ASCII white space, A-Z lower-cased. With fewer than k words the whole sequence is one shingle.
 Null texts, empty texts and texts without words have an empty set and link with nothing, nor do null ids (their
-component is null). Rows that share an id are one node, linked by any of its texts; each row is returned. Empty: empty."""
+component is null). Rows that share an id are one node, linked by any of its texts; each row is returned. Ids are whole
+numbers or text that casts to them. Further columns aren't read by the join. Empty: empty. A text is hashed by windows; a
+long one holds some 50 bytes a word at its peak."""
 
 from __future__ import annotations
 
@@ -31,9 +38,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, components, mix64, set_hash, shingles, text_slices
 
 #: Ids up to this many are broadcast to filter a scan; beyond it the scan is joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
-#: Buckets of up to this many rows list their pairs; larger ones are compared in blocks.
-LISTED = 32
+BROADCAST_ROWS = 500_000
+#: Buckets of up to this many rows list their pairs; larger ones are compared in stars, so often at most, and then in blocks.
+LISTED, STARS = 32, 4
 BLOCK_ROWS = 1024
 #: Bytes of text whose words are hashed at once (about a hundred bytes each).
 HASH_CHUNK = 1 << 19
@@ -65,26 +72,31 @@ class Bands:
         differ = (100 - self.percent) * (top + top * 100 // self.percent) // (100 + self.percent)
         return differ + 1 + (differ + 1) // 4, differ + 1
 
-    def _places(self, hashes: np.ndarray, band: int) -> np.ndarray:
-        """The segment of each shingle."""
-        return (((hashes >> np.uint64(32)) * np.uint64(self.segments(band)[0])) >> np.uint64(32)).astype(np.int64)
+    def _edges(self, hashes: np.ndarray, band: int) -> np.ndarray:
+        """Where the segments begin and end in sorted hashes: a segment is a range of the upper 32 bits."""
+        m = self.segments(band)[0]
+        low = (np.arange(1, m, dtype=np.uint64) << np.uint64(32)) // np.uint64(m) + np.uint64(1)
+        low -= (((low - np.uint64(1)) * np.uint64(m)) >> np.uint64(32)) == np.arange(1, m, dtype=np.uint64)
+        return np.concatenate([[0], np.searchsorted(hashes, low << np.uint64(32)), [len(hashes)]])
 
     def sketch(self, hashes: np.ndarray, band: int) -> np.ndarray:
-        """64 bits a segment; each shingle toggles one."""
-        m, _ = self.segments(band)
-        bit = self._places(hashes, band) * 64 + (hashes & np.uint64(63)).astype(np.int64)
-        return np.packbits(np.bincount(bit, minlength=64 * m).astype(np.uint8) & 1, bitorder="little").view(np.uint64)
+        """64 bits a segment; each shingle of the sorted set toggles one."""
+        edge, out = self._edges(hashes, band), []
+        for s in range(0, len(edge) - 1, 4096):
+            own = edge[s : s + 4097]
+            bit = np.repeat(np.arange(len(own) - 1), np.diff(own)) * 64 + (hashes[own[0] : own[-1]] & np.uint64(63)).astype(np.int64)
+            out.append(np.packbits(np.bincount(bit, minlength=64 * (len(own) - 1)).astype(np.uint8) & 1, bitorder="little").view(np.uint64))
+        return np.concatenate(out)
 
     def keys(self, hashes: np.ndarray) -> np.ndarray:
         """What the document joins on: of each chosen segment the exclusive or of its shingles' whole hashes, a sketch of 2**64 possible bits in 64. Segments of equal content have equal keys; others by chance only."""
-        out = []
+        out, whole = [], mix64(hashes + np.uint64(0x5851F42D4C957F2D))
         for band in self.of(len(hashes)):
             m, take = self.segments(band)
-            place = self._places(hashes, band)
-            order = np.argsort(place, kind="stable")
-            first = np.flatnonzero(np.diff(place[order], prepend=-1))
+            edge = self._edges(hashes, band)
+            some = np.flatnonzero(np.diff(edge))
             name = np.zeros(m, np.uint64)
-            name[place[order[first]]] = np.bitwise_xor.reduceat(mix64(hashes + np.uint64(0x5851F42D4C957F2D))[order], first)
+            name[some] = np.bitwise_xor.reduceat(whole, edge[some])
             name = mix64(name + mix64((np.uint64(band) << np.uint64(40)) + np.arange(m, dtype=np.uint64)))
             if take < m:
                 worth = (np.bitwise_count(self.sketch(hashes, band)).astype(np.uint64) << np.uint64(56)) | (name >> np.uint64(8))
@@ -113,34 +125,6 @@ def _digest(docs: DataFrame, bands: Bands, k: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, fp binary, keys array<long>")
 
 
-def _buckets(rows: DataFrame) -> DataFrame:
-    """Of (key, id, n) the rows whose key has several, with the smallest id of the key. One sorted pass, nothing held."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # key, id, n, smallest id of the key, whether it was given out
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key, ids, n = (b.column(i).to_numpy() for i in range(3))
-            if last:
-                key, ids, n = (np.concatenate([[x], y]) for x, y in zip(last[:3], (key, ids, n), strict=True))
-            same = np.zeros(len(key), bool)
-            same[1:] = key[1:] == key[:-1]
-            head = ids[np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))]
-            if last:
-                head[np.cumsum(~same) == 1] = last[3]
-            shared = same.copy()
-            shared[:-1] |= same[1:]
-            give = shared.copy()
-            if last:
-                shared[0] |= last[4]
-                give[0] &= not last[4]
-            last = (key[-1], ids[-1], n[-1], head[-1], bool(shared[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(x[give]) for x in (key, ids, n, head)], ["key", "id", "n", "head"])
-
-    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "key long, id long, n long, head long")
-
-
 def _chosen(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The documents of the wanted ids (a written table): the ids are broadcast if they are few, else joined by a shuffle."""
     return docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "id", "left_semi")
@@ -248,9 +232,11 @@ def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
     rows = store.save(_digest(docs, bands, k), "rows")
     named = rows.where("n > 0 AND id IS NOT NULL")
     reps = store.save(named.groupBy("fp").agg(F.min("id").alias("id")), "reps")
-    again = store.save(named.select("id", "fp").join(reps.withColumnRenamed("id", "least"), "fp").where("id != least").select("id", "fp").distinct(), "again")
-    first = named.select("id", "n", "fp", "keys").join(F.broadcast(again) if again.count() <= BROADCAST_ROWS else again, ["id", "fp"], "left_anti")
-    shared = store.save(_buckets(first.select(F.explode("keys").alias("key"), "id", "n")), "shared")
+    first = store.save(named.join(reps, ["id", "fp"], "left_semi").select("id", "n", "keys"), "distinct")
+    exploded = first.select(F.explode("keys").alias("key"), "id", "n")
+    heads = store.save(exploded.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("head")).where("m > 1"), "heads")
+    shared = store.save(exploded.join(heads, "key").select("key", "id", "n", "head", "m"), "shared")
+    store.drop("distinct", "heads")
     sketches = store.save(_sketches(docs, store.save(shared.select("id").distinct(), "wanted"), bands, k), "sketches")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
@@ -258,13 +244,26 @@ def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
         ids = store.save(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"ids-{name}")
         return store.save(_verified(near, _sets(docs, ids, k), percent), f"links-{name}")
 
-    # the star of each bucket
-    links = verified(shared.where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    comp = store.save(components(links, store, "first"), "first")
+    def placed(links: DataFrame, name: str) -> DataFrame:
+        """The buckets that hold several components: key, id, n, m, comp and that of the smallest member, hc."""
+        comp = store.save(components(links, store, name), name)
+        own = store.save(shared.join(comp, shared.id == comp.node, "left").select("key", "id", "n", "m", F.coalesce("component", "id").alias("comp")), f"placed-{name}")
+        open_ = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("comp", "id").alias("hc")).where("lo != hi")
+        rest = store.save(own.join(store.save(open_.select("key", "hc"), f"open-{name}"), "key"), f"rest-{name}")
+        store.drop(f"placed-{name}", f"open-{name}")
+        return rest
+
+    links = verified(shared.where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "stars1")
+    rest = placed(links, "comp1")
+    for turn in range(2, STARS + 1):  # of what isn't in the component of its bucket's smallest
+        others = rest.where(f"m > {LISTED} AND comp != hc")
+        low = store.save(others.groupBy("key").agg(F.min("id").alias("head"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key", "head"), f"low{turn}")
+        if not low.limit(1).count():
+            break
+        stars = others.join(low, "key").where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+        links = links.unionByName(verified(stars, f"stars{turn}"))
+        rest = placed(links, f"comp{turn}")
     # the rest: buckets with several components
-    placed = shared.join(comp, shared.id == comp.node, "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
-    open_ = placed.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key", "m")
-    rest = store.save(placed.join(open_, "key"), "rest")
     few = rest.where(F.col("m") <= LISTED)
     x, y = (few.select("key", *(F.col(c).alias(f"{c}{s}") for c in ("id", "n", "comp"))) for s in ("1", "2"))
     close = (F.col("n1") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n1") * percent)
@@ -273,10 +272,9 @@ def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
     many = many.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     many = many.select("key", F.least("chunk", "other").alias("ca"), F.greatest("chunk", "other").alias("cb"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "id", "comp")
     blocks = many.join(sketches, "id").groupBy("key", "ca", "cb").applyInPandas(lambda pdf: _block_pairs(pdf, bands), "a long, b long")
-    pairs = listed.unionByName(blocks).distinct()
-    links = links.unionByName(verified(pairs, "rest2"))
-    comp = store.save(components(links, store, "second"), "second")
-    of_set = reps.join(comp, reps.id == comp.node, "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    links = links.unionByName(verified(listed.unionByName(blocks).distinct(), "rest"))
+    comp = store.save(components(links, store, "last"), "last")
+    of_set = store.save(reps.join(comp, reps.id == comp.node, "left").select("fp", F.coalesce("component", "id").alias("component_id")), "sets")
     out = rows.where("n > 0").select("id", "n", "fp").join(of_set, "fp", "left").select("id", "n", F.coalesce("component_id", "id").alias("component_id"))
     out = out.select("id", "n", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
     out = out.unionByName(rows.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
@@ -286,8 +284,23 @@ def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay when one document (that of the smallest id) stays of each group; rows without an id stay, repeated rows go."""
-    groups = link_documents(docs, k, percent, id_col, text_col)
-    stay = groups.groupBy(id_col).agg(F.min("component_id").alias("__least")).where(F.col(id_col) == F.col("__least")).select(id_col)
-    kept = docs.join(stay, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    """The rows of ``docs`` that stay when one document (that of the smallest id) stays of each group.
+
+    An id is one document: if it stays, all its different texts stay, and of rows that repeat both its id and a text one does.
+    Rows without an id stay. All columns are kept as they are, whatever their names. The texts aren't shuffled as long as few ids go."""
+    spark = docs.sparkSession
+    groups, store = link_documents(docs, k, percent, id_col, text_col), Scratch(spark, "keep")
+    ids = groups.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col("component_id").alias("least"))
+    counted = ids.groupBy("id").agg(F.min("least").alias("least"), F.count("*").alias("rows"))
+    gone, again = store.save(counted.where("least != id").select("id"), "gone"), store.save(counted.where("least = id AND rows > 1").select("id"), "again")
+
+    def side(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+    same = lambda d, ids: d[id_col].cast("long") == ids["id"]
+    stay = docs.join(gone_ := side(gone), same(docs, gone_), "left_anti")
+    if not again.limit(1).count():
+        return stay
+    twice = side(again)
+    once = stay.join(twice, same(stay, twice), "left_anti")
+    return once.unionByName(stay.join(twice, same(stay, twice), "left_semi").dropDuplicates([id_col, text_col]))
