@@ -15,7 +15,7 @@ counts are broadcast for up to ``max_sources`` sources or so, the schedule up to
 by a shuffle.
 
 A null source is a source of its own. Null ids and repeated rows are rows like others. Weights of 0 or less, or missing
-ones where weights are given, come after all others have ended, by size. An empty table: no rows."""
+ones where weights are given, come after all others have ended, by size. Columns may have any names. An empty table: no rows."""
 
 from __future__ import annotations
 
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -105,9 +105,34 @@ def phases(blocks: list[int], weights: list[float], resolution: int) -> list[tup
     return [(i, 0, n, 0, n, sum(blocks), slots[i]) for i, n in enumerate(blocks) if n]
 
 
-def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, block_rows: int = 64, resolution: int = 1000, max_sources: int = 200, seed: int = 1, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """All columns of ``docs`` and __block, __release, __deadline, __slot, __position. Without weights a source's weight is its number of rows to ``power``."""
-    spark = docs.sparkSession
+#: What mix_sources adds.
+ADDED = ["__block", "__release", "__deadline", "__slot", "__position"]
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with columns c0, c1 and so on, whatever they are called, and the columns that give them their names back."""
+    named = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    return named, [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
+
+
+def mix_sources(docs: DataFrame, *args, **options) -> DataFrame:
+    """All columns of ``docs`` and __block, __release, __deadline, __slot, __position, which replace columns of these names. Without weights a source's weight is its number of rows to ``power``."""
+    got, back = _mixed(docs, *args, **options)
+    return got.select(*(b for b, c in zip(back, docs.columns, strict=True) if c.lower() not in ADDED), *ADDED)
+
+
+def mixed_order(docs: DataFrame, *args, **options) -> DataFrame:
+    """The rows of ``docs`` in their mixed order, all columns as they are."""
+    got, back = _mixed(docs, *args, **options)
+    n = shuffle_partitions(docs.sparkSession)
+    return got.repartitionByRange(n, "__position").sortWithinPartitions("__position").select(*back)
+
+
+def _mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, block_rows: int = 64, resolution: int = 1000, max_sources: int = 200, seed: int = 1, id_col: str = "doc_id", source_col: str = "source") -> tuple[DataFrame, list[Column]]:
+    """The numbered columns and the added ones, and the columns that give the former their names back."""
+    spark, labels = docs.sparkSession, docs.columns
+    id_col, source_col = (f"c{labels.index(c)}" for c in (id_col, source_col))
+    docs, back = _numbered(docs)
     store, n = Scratch(spark, "mixing"), shuffle_partitions(spark)
     kind = docs.schema[source_col].dataType
     drawn = docs.withColumn("__class", F.col(source_col)).withColumn("__hash", F.xxhash64(F.lit(seed), F.col(id_col)))
@@ -137,13 +162,13 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     got = got.withColumn("__rank", F.col("__at") + F.col("__start")).withColumn("__block", F.expr(f"__rank div {block_rows}"))
     got = got.join(table, F.col("__class").eqNullSafe(F.col("__c")) & (F.col("__block") == F.col("__b")))
     got = got.withColumn("__position", F.col("__slot") * block_rows + F.pmod(F.col("__rank"), F.lit(block_rows)))
-    return got.select(*docs.columns, "__block", "__release", "__deadline", "__slot", "__position")
+    return got.select(*docs.columns, *ADDED), back
 
 
 def in_order(mixed: DataFrame) -> DataFrame:
     """The rows of mix_sources in their mixed order, without its columns."""
     n = shuffle_partitions(mixed.sparkSession)
-    return mixed.repartitionByRange(n, "__position").sortWithinPartitions("__position").drop("__block", "__release", "__deadline", "__slot", "__position")
+    return mixed.repartitionByRange(n, "__position").sortWithinPartitions("__position").drop(*ADDED)
 
 
 def in_written_order(docs: DataFrame) -> DataFrame:
@@ -152,5 +177,5 @@ def in_written_order(docs: DataFrame) -> DataFrame:
     Spark reads files by falling size, so the order is taken from the numbers of the part files and the rows' places in them."""
     n = shuffle_partitions(docs.sparkSession)
     keys = {"__part": F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long"), "__file": F.col("_metadata.file_name"), "__row": F.col("_metadata.row_index")}
-    placed = docs.select("*", *(c.alias(k) for k, c in keys.items()))
-    return placed.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop(*keys)
+    placed = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)), *(c.alias(k) for k, c in keys.items()))
+    return placed.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -9,7 +9,8 @@ Equal lengths are batched together (``bucket`` is the length): the pieces are wr
 dealt by bucket, in each task by bucket and number. A bucket of any size is spread over as many tasks as its rows and ids
 need: no task gets more than about twice the mean of either. Only the buckets' counts are collected, one for each power of two.
 
-Null and empty texts have the end id only. Repeated rows and null ids are packed as further documents. Empty: empty."""
+Null and empty texts have the end id only. Repeated rows and null ids are packed as further documents. A long text is
+tokenised by windows and holds its ids, four bytes each, beside itself. Further columns aren't read. Empty: empty."""
 
 from __future__ import annotations
 
@@ -62,12 +63,12 @@ def pack(docs: DataFrame, vocabulary: str, width: int = 4096, end_id: int = 2, w
                         crc.append(zlib.crc32(raw))
                         total.append(m + 1)
                         if with_ids:
-                            ids.append(raw.astype(np.int64))
+                            ids.append(raw.view("<i4"))
                 cols = [batch.column(0).take(pa.array(owner, pa.int64()))] + [pa.array(x, pa.int64()) for x in (start, length, crc, total)]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(ids, pa.list_(pa.int64()))] * with_ids, ["id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 5 + with_ids])
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, ["id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 5 + with_ids])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * with_ids)
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)
     more = ["ids"] * with_ids
     out = out.select(F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.col("length").alias("bucket"), *more)
     return by_bucket(Scratch(docs.sparkSession, "packing").save(out, "pieces"))

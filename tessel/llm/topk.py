@@ -111,7 +111,8 @@ def _best(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFra
 
 def top_inner_products(df: DataFrame, is_query: Column, k: int = 20, scale: float = 64, id_col: str = "vec_id", vec_col: str = "embedding", q_rows: int = 1024, c_rows: int = 16384) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best of all other rows. ``is_query`` is a condition on ``vec_id``."""
-    rows = Scratch(df.sparkSession, "topk").save(integer_rows(df, scale, id_col, vec_col), "rows").withColumn("q", F.coalesce(is_query, F.lit(False)))
+    store = Scratch(df.sparkSession, "topk")
+    rows = store.save(integer_rows(df, scale, id_col, vec_col), "rows").withColumn("q", F.coalesce(is_query, F.lit(False)))
     n, nq = rows.agg(F.count("*"), F.count_if("q")).first()
     cb, qb = max(1, -(-n // c_rows)), max(1, -(-nq // q_rows))
     candidates = rows.select("vec_id", "terms", F.lit(False).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"), salted(F.col("vec_id"), cb).alias("cb"))
@@ -122,4 +123,6 @@ def top_inner_products(df: DataFrame, is_query: Column, k: int = 20, scale: floa
 
     got = candidates.unionByName(queries).groupBy("qb", "cb").applyInPandas(block, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = store.save(got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "best")
+    store.keep_only("best")
+    return best

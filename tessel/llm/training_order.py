@@ -3,13 +3,16 @@
 Texts become token ids, each with an end id, cut into sequences of at most ``stride`` ids. The sequences are numbered
 0..N-1 without gaps, and a keyed Feistel permutation of the next even power of two, walked along its cycle until it falls
 below N, gives every number a slot: a bijection that needs no state, so any reader can compute it or its inverse. A shard
-is a range of ``shard_rows`` slots and is dealt to one task, which has its records in slot order, each padded to the
-fixed stride, so a record's place in its shard is slot * bytes and reading can go on from any slot.
+is a range of ``shard_rows`` slots. The slots are range-partitioned by shard, so a task has some neighbouring shards, whole
+and in slot order; each record is padded to the fixed stride, so its place in its shard is slot * bytes and reading can go
+on from any slot: ``write_shards`` writes a file a shard, ``read_from`` reads on from a slot.
 
 Sequences are written once to the shared folder before they are numbered (a lost executor can't renumber them); only the
 number of sequences of each partition is collected. Shards have equal sizes, so nothing is hot.
 
-Null and empty texts are one sequence of the end id. Repeated rows and null ids are texts like others. Empty: empty."""
+Null and empty texts are one sequence of the end id. Repeated rows and null ids are texts like others. A long text is
+tokenised by windows and holds its ids beside itself. Vocabularies of more than 65,536 symbols are an error, since ids
+are 16-bit numbers. Further columns aren't read. Empty: empty."""
 
 from __future__ import annotations
 
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_codec
-from .common import Scratch, mix64, text_slices
+from .common import Scratch, mix64, shuffle_partitions, text_slices
 
 
 def permute(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
@@ -86,7 +89,8 @@ def in_training_order(docs: DataFrame, vocabulary: str, stride: int = 512, shard
 
     got = cut.join(F.broadcast(spark.createDataFrame(starts, "part long, before long")), "part")
     got = got.withColumn("slot", slot(F.col("at") + F.col("before"))).withColumn("shard", F.expr(f"slot div {shard_rows}"))
-    got = got.repartition("shard").sortWithinPartitions("slot")
+    shards = -(-total // shard_rows)
+    got = got.repartitionByRange(max(1, min(shards, max(shuffle_partitions(spark), shards // 16))), "shard").sortWithinPartitions("slot")
     crc = F.crc32("ids")
     padded = F.concat("ids", F.expr(f"cast(repeat('\\0', int(2 * ({stride} - length))) as binary)"))
     return got.select("slot", "shard", (F.pmod(F.col("slot"), F.lit(shard_rows)) * 2 * stride).alias("byte_offset"), F.col("id").alias(id_col), "start", "length", crc.alias("ids_crc32"), padded.alias("record"))
@@ -127,5 +131,20 @@ def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
     return ordered.select("shard", "record").mapInArrow(run, "shard long, records long, bytes long")
 
 
+def read_from(folder: str, slot: int, stride: int = 512, shard_rows: int = 4096) -> Iterator[tuple[int, np.ndarray]]:
+    """(slot, ids with padding) one after the other from a slot on, as a reader that goes on where it was stopped: one seek, then whole shards."""
+    from pyarrow import fs
+
+    place, path = fs.FileSystem.from_uri(folder)
+    shard, at, size = slot // shard_rows, slot % shard_rows, 2 * stride
+    while place.get_file_info(name := f"{path}/shard-{shard:08d}.bin").type == fs.FileType.File:
+        with place.open_input_file(name) as f:
+            f.seek(at * size)
+            while record := f.read(size):
+                yield shard * shard_rows + at, np.frombuffer(record, "<u2")
+                at += 1
+        shard, at = shard + 1, 0
+
+
 def record_crc(record: bytes, length: int) -> int:
     return zlib.crc32(record[: 2 * length])

@@ -9,13 +9,15 @@ join independently, and a large cell is cut into chunks whose pairs are joined i
 Equal unit vectors are merged beforehand and counted, and a task returns counts and a spanning forest of the links it
 found, not the pairs, so a group of copies of any size costs rows in proportion to its members.
 
-The pivots are a sample: at most ``max_pivots``, the only thing collected and broadcast. They decide speed, not results.
+The pivots are a sample that grows with the root of the number of vectors, one for ``cell_rows`` vectors while that is
+fewer, and at most ``max_pivots``: the only thing collected and broadcast. They decide speed, not results.
 
 Vectors that are null, zero, or hold null or non-finite components, vectors without a label, and null ids link with
 nothing. Vectors of different lengths never link. Rows that repeat an id are one vector, the smallest. Empty: empty."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,14 +86,28 @@ def _join_block(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"a": np.concatenate([rep[some], [p for p, _ in forest]]), "b": np.concatenate([np.full(int(some.sum()), -1), [q for _, q in forest]]), "links": np.concatenate([count[some], np.zeros(len(forest))])}).astype({"a": "int64", "b": "int64", "links": "int64"})
 
 
-def link_vectors(df: DataFrame, threshold: float = 0.98, max_pivots: int = 512, cell_rows: int = 2000, chunk_rows: int = 2048, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def _cells(x: np.ndarray, p: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each vector's own cell, and (row, cell) of the cells of smaller number where partners of a vector may live."""
+    d2 = np.maximum(2 - 2 * (x @ p.T), 0)
+    own = d2.argmin(axis=1)
+    mine = d2[np.arange(len(x)), own]
+    near = d2 <= ((np.sqrt(mine) + 2 * radius) ** 2)[:, None]
+    near &= np.arange(len(p))[None, :] < own[:, None]
+    row, cell = np.nonzero(near)
+    apart = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", p[own[row]], p[cell]), 0))
+    keep = ((d2[row, cell] - mine[row]) / np.maximum(2 * apart, 1e-12) <= radius) | (apart < 1e-6)
+    return own, row[keep], cell[keep]
+
+
+def link_vectors(df: DataFrame, threshold: float = 0.98, max_pivots: int = 65_536, cell_rows: int = 2000, chunk_rows: int = 2048, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector."""
     spark = df.sparkSession
     store = Scratch(spark, "vectors")
     units = store.save(_units(df, id_col, vec_col, label_col), "units")
     one = units.where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min(F.struct("unit", "label", "dim")).alias("v")).select("vec_id", "v.*")
     reps = store.save(one.where("unit IS NOT NULL").groupBy("label", "dim", "unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")), "reps")
-    want = min(max_pivots, reps.count() // cell_rows)
+    n = reps.count()
+    want = min(max_pivots, n // cell_rows, 512 + 4 * math.isqrt(n))
     pivots: dict[tuple, np.ndarray] = {}
     for r in reps.orderBy(F.xxhash64("rep", F.lit(5)), "rep").limit(want).collect() if want else []:
         pivots.setdefault((r.label, r.dim), []).append(np.frombuffer(r.unit, "<f8"))
@@ -105,17 +121,11 @@ def link_vectors(df: DataFrame, threshold: float = 0.98, max_pivots: int = 512,
                 if p is None:
                     yield g.assign(cell=0, home=True)
                     continue
-                x = _rows(g.unit)
-                d2 = np.maximum(2 - 2 * (x @ p.T), 0)
-                own = d2.argmin(axis=1)
-                d, mine = np.sqrt(d2), np.sqrt(d2[np.arange(len(x)), own])
-                apart = np.sqrt(np.maximum(2 - 2 * (p @ p.T), 0))[own]
-                plane = (d2 - d2[np.arange(len(x)), own][:, None]) / np.maximum(2 * apart, 1e-12)
-                near = (d <= mine[:, None] + 2 * radius) & ((plane <= radius) | (apart < 1e-6))
-                near &= np.arange(len(p))[None, :] < own[:, None]
-                yield g.assign(cell=own, home=True)
-                at, cell = np.nonzero(near)
-                yield g.iloc[at].assign(cell=cell, home=False)
+                for at in range(0, len(g), max(1, (1 << 22) // len(p))):
+                    part = g.iloc[at : at + max(1, (1 << 22) // len(p))]
+                    own, row, cell = _cells(_rows(part.unit), p, radius)
+                    yield part.assign(cell=own, home=True)
+                    yield part.iloc[row].assign(cell=cell, home=False)
 
     label = reps.schema["label"].dataType.simpleString()
     cells = store.save(reps.mapInPandas(deal, f"label {label}, dim int, unit binary, rep long, mult long, cell int, home boolean"), "cells")
@@ -131,6 +141,7 @@ def link_vectors(df: DataFrame, threshold: float = 0.98, max_pivots: int = 512,
     out = one.join(per_rep, ["label", "dim", "unit"], "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     nameless = units.where("vec_id IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"))
-    return out.unionByName(nameless).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
-
-
+    out = out.unionByName(nameless).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    out = store.save(out, "result")
+    store.keep_only("result")
+    return out
