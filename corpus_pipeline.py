@@ -22,9 +22,8 @@ LEAST_SCORE = 0.3
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, keep_columns=True, name="__score")
-    # mapInArrow gives the text back last, so the columns are put in their order again
-    return scored.where(F.col("__score") >= LEAST_SCORE).select(*docs.columns)
+    name = "score" + "_" * max(map(len, docs.columns))  # no column's name
+    return quality.score(docs, model, keep_columns=True, name=name).where(F.col(name) >= LEAST_SCORE).drop(name)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +35,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.in_order(mixing.mix_sources(docs))
+    return mixing.mixed_order(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,4 +52,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, store = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         docs = store.save(stage(spark, docs, sf_dir), name)
+        store.keep_only(name)
     return STAGES[-1][1](spark, docs, sf_dir)
