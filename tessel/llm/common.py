@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once; longer texts are handled alone, whole.
 CHUNK_BYTES = 2 << 20
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +32,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not base:
             if not spark.sparkContext.master.startswith("local"):
@@ -72,6 +75,34 @@ class Scratch:
                 fs.delete(status.getPath(), True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows of any size reach Python by at most BATCH_BYTES at once, or one longer row (for the session, since plans run later)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+
+
+# --- filters of keys ---------------------------------------------------------------------------------------------
+
+#: Bits of a filter of 64-bit keys, and up to how many keys it is used.
+FILTER_BITS, FILTER_KEYS = 27, 1 << 25
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """The lowest FILTER_BITS bits of the keys as a bitmap, built on the executors; 2 ** FILTER_BITS / 8 bytes come to the driver whatever the table."""
+    bit = F.col("key").bitwiseAND((1 << FILTER_BITS) - 1) + 1  # those functions count from 1
+    got = keys.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).toArrow()
+    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for k, bits in zip(got["bucket"].to_pylist(), got["bits"], strict=True):
+        part = np.frombuffer(bits.as_buffer(), np.uint8)
+        out[(k - 1) * 4096 : (k - 1) * 4096 + len(part)] = part
+    return out
+
+
+def passes(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which of the keys the filter holds: all that were put in, others by chance."""
+    bit = key & ((1 << FILTER_BITS) - 1)
+    return (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -8,13 +8,14 @@ then value, an order both sides share): of e + 1 equal segments at most e are le
 and, where partners may be smaller, in the band below. Candidates are verified by exact intersection counts.
 
 Sets that are equal are merged first. Then each bucket's members are compared to its smallest (a star, so a group of m
-copies costs m rows) and verified links are joined to components. While large buckets still hold several components, what
+copies costs m rows) and verified links are joined to components. While many pairs are open in large buckets, what
 isn't in their smallest member's component is compared to its own smallest, and so on; only buckets that hold several
 components after that are compared in full, by blocks of bounded size with the Hamming bound: a pair within a component
 could add nothing. So no pair of a group is listed for its own sake, yet no link between components is lost. Before the
 sets of two candidates are fetched their sketches are: a pair beyond the Hamming bound needs no more.
 
-No bucket passes through one task: its smallest member and size are aggregated (combined before the shuffle) and joined to
+Which keys several documents have reaches the documents as a filter of fixed size, so that keys of one document aren't
+shuffled again. No bucket passes through one task: its smallest member and size are aggregated (combined before the shuffle) and joined to
 its rows, a join whose hot keys Spark splits; so are the rows of one set of copies. The sides of such joins are written
 tables, since a side that is aggregated in the same stage can't be split.
 
@@ -32,15 +33,17 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, mix64, set_hash, shingles, text_slices
+from .common import FILTER_KEYS, Scratch, components, key_filter, mix64, passes, set_hash, shingles, text_slices
 
 #: Ids up to this many are broadcast to filter a scan; beyond it the scan is joined by a shuffle.
 BROADCAST_ROWS = 500_000
-#: Buckets of up to this many rows list their pairs; larger ones are compared in stars, so often at most, and then in blocks.
-LISTED, STARS = 32, 4
+#: Buckets of up to this many rows list their pairs; larger ones are compared in blocks, and before that in stars (so often at most) while the pairs that
+#: are open in them are more than so many times the rows of all buckets.
+LISTED, STARS, OPEN_PAIRS = 32, 6, 8
 BLOCK_ROWS = 1024
 #: Bytes of text whose words are hashed at once (about a hundred bytes each).
 HASH_CHUNK = 1 << 19
@@ -125,6 +128,23 @@ def _digest(docs: DataFrame, bands: Bands, k: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, fp binary, keys array<long>")
 
 
+def _members(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """(key, id, n) of the rows' keys that may be among the heads': a filter of fixed size keeps most others from the shuffle."""
+    if heads.count() > FILTER_KEYS:
+        return rows.select(F.explode("keys").alias("key"), "id", "n")
+    held = rows.sparkSession.sparkContext.broadcast(key_filter(heads))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = b.column(2)
+            flat, owner = keys.flatten().to_numpy(), pc.list_parent_indices(keys).to_numpy()
+            some = passes(held.value, flat)
+            at = pa.array(owner[some])
+            yield pa.RecordBatch.from_arrays([pa.array(flat[some]), b.column(0).take(at), b.column(1).take(at)], ["key", "id", "n"])
+
+    return rows.select("id", "n", "keys").mapInArrow(run, "key long, id long, n long")
+
+
 def _chosen(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The documents of the wanted ids (a written table): the ids are broadcast if they are few, else joined by a shuffle."""
     return docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "id", "left_semi")
@@ -233,9 +253,11 @@ def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
     named = rows.where("n > 0 AND id IS NOT NULL")
     reps = store.save(named.groupBy("fp").agg(F.min("id").alias("id")), "reps")
     first = store.save(named.join(reps, ["id", "fp"], "left_semi").select("id", "n", "keys"), "distinct")
+    rows = store.save(rows.select("id", "n", "fp"), "all")
+    store.drop("rows")
     exploded = first.select(F.explode("keys").alias("key"), "id", "n")
     heads = store.save(exploded.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("head")).where("m > 1"), "heads")
-    shared = store.save(exploded.join(heads, "key").select("key", "id", "n", "head", "m"), "shared")
+    shared = store.save(_members(first, heads).join(heads, "key").select("key", "id", "n", "head", "m"), "shared")
     store.drop("distinct", "heads")
     sketches = store.save(_sketches(docs, store.save(shared.select("id").distinct(), "wanted"), bands, k), "sketches")
 
@@ -253,12 +275,14 @@ def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
         store.drop(f"placed-{name}", f"open-{name}")
         return rest
 
+    rows_shared = shared.count()
     links = verified(shared.where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "stars1")
     rest = placed(links, "comp1")
     for turn in range(2, STARS + 1):  # of what isn't in the component of its bucket's smallest
         others = rest.where(f"m > {LISTED} AND comp != hc")
-        low = store.save(others.groupBy("key").agg(F.min("id").alias("head"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key", "head"), f"low{turn}")
-        if not low.limit(1).count():
+        low = others.groupBy("key").agg(F.min("id").alias("head"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"))
+        low = store.save(low.where("lo != hi").select("key", "head", "c"), f"low{turn}")
+        if (low.agg(F.sum(F.col("c") * F.col("c"))).first()[0] or 0) <= OPEN_PAIRS * rows_shared:
             break
         stars = others.join(low, "key").where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
         links = links.unionByName(verified(stars, f"stars{turn}"))

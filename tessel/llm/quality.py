@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import release
-from .common import SPACE, _powers, mix64, text_slices
+from .common import SPACE, _powers, mix64, small_batches, text_slices
 
 BITS = 18
 #: Bytes of text whose features are held at once (some 200 bytes of memory each), and of a block.
@@ -151,6 +151,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], dim: int = 8, epochs:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, sample_bytes: int = 256 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Fits in one task on at most ``per_class`` rows of either label, which it takes by id hash until ``sample_bytes`` of features are held; only the model comes to the driver."""
+    small_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
     known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top").withColumn("h", F.xxhash64("id"))
     sample = known.where("y = 0").orderBy("h", "id").limit(per_class).unionByName(known.where("y = 1").orderBy("h", "id").limit(per_class))
@@ -184,6 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, sample_bytes:
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False, name: str = "score") -> DataFrame:
     """(id, score), or all columns and the score."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias))
     names = [c for c in docs.columns if c != name] if keep_columns else [id_col]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}

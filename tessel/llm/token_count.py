@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_codec
-from .common import text_slices
+from .common import small_batches, text_slices
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -32,6 +32,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: st
                 size = pa.array([len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in part], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), size, pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(count, f"id {kind}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

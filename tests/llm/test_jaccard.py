@@ -59,6 +59,8 @@ def corpus(seed, n=260):
 @pytest.mark.parametrize("k,percent,listed", [(3, 90, 32), (5, 80, 32), (3, 90, 1)])
 def test_components_equal_brute_force(spark, monkeypatch, k, percent, listed):
     monkeypatch.setattr(jaccard, "LISTED", listed)
+    monkeypatch.setattr(jaccard, "OPEN_PAIRS", 0 if listed == 1 else 8)
+    monkeypatch.setattr(jaccard, "FILTER_KEYS", 0 if percent == 80 else 1 << 25)
     monkeypatch.setattr(jaccard, "BLOCK_ROWS", 8 if listed == 1 else 1024)
     monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0 if listed == 1 else 10**6)
     rows = corpus(percent + listed)
@@ -66,6 +68,21 @@ def test_components_equal_brute_force(spark, monkeypatch, k, percent, listed):
     assert sorted((tuple(r) for r in got.collect()), key=str) == plain(rows, k, percent)
 
 
+def test_different_texts_of_one_id_stay(spark):
+    rows = [(1, "a b c d e f", 0, "x"), (1, "totally different words stand here now", 0, "y"), (1, "a b c d e f", 0, "z"), (2, "a b c d e f", 0, "x"), (None, "a b c d e f", 0, "x"), (3, None, 0, "x")]
+    got = sorted(((r.doc_id, r.text) for r in jaccard.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    assert got == sorted([(1, "a b c d e f"), (1, rows[1][1]), (None, "a b c d e f"), (3, None)], key=str)
+
+
+def test_a_bucket_whose_smallest_links_to_nobody(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LISTED", 2)
+    monkeypatch.setattr(jaccard, "OPEN_PAIRS", 0)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(0, " ".join(base[:20] + [f"z{i}" for i in range(40)]), 0, "")] + [(i, " ".join(base[:-1] + [f"x{i}"]), 0, "") for i in range(1, 40)]
+    got = jaccard.link_documents(spark.createDataFrame(rows, SCHEMA), 3, 90)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == plain(rows, 3, 90)
+
+
 def test_one_document_of_each_group_stays(spark):
     rows = corpus(5, 120)
     df = spark.createDataFrame(rows, SCHEMA)
