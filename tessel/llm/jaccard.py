@@ -8,9 +8,9 @@ then value, an order both sides share): of e + 1 equal segments at most e are le
 and, where partners may be smaller, in the band below. Candidates are verified by exact intersection counts.
 
 Sets that are equal are merged first. Then each bucket's members are compared to its smallest (a star, so a group of m
-copies costs m rows) and verified links are joined to components. While many pairs are open in large buckets, what
-isn't in their smallest member's component is compared to its own smallest, and so on; only buckets that hold several
-components after that are compared in full, by blocks of bounded size with the Hamming bound: a pair within a component
+copies costs m rows) and verified links are joined to components. While many pairs are open in large buckets, what isn't
+in their head's component is compared to one of its own members, and so on as long as that halves them; only buckets that
+hold several components after that are compared in full, by blocks of bounded size with the Hamming bound: a pair within a component
 could add nothing. So no pair of a group is listed for its own sake, yet no link between components is lost. Before the
 sets of two candidates are fetched their sketches are: a pair beyond the Hamming bound needs no more.
 
@@ -27,6 +27,7 @@ long one holds some 50 bytes a word at its peak."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,7 +43,7 @@ from .common import FILTER_KEYS, Scratch, components, key_filter, mix64, passes,
 #: Ids up to this many are broadcast to filter a scan; beyond it the scan is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Buckets of up to this many rows list their pairs; larger ones are compared in blocks, and before that in stars (so often at most) while the pairs that
-#: are open in them are more than so many times the rows of all buckets.
+#: are open in them are more than so many times the rows of all buckets and each round halves them.
 LISTED, STARS, OPEN_PAIRS = 32, 6, 8
 BLOCK_ROWS = 1024
 #: Bytes of text whose words are hashed at once (about a hundred bytes each).
@@ -261,32 +262,38 @@ def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
     store.drop("distinct", "heads")
     sketches = store.save(_sketches(docs, store.save(shared.select("id").distinct(), "wanted"), bands, k), "sketches")
 
+    rows_shared = shared.count()
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         near = store.save(_near(pairs, sketches, bands), f"near-{name}")
         ids = store.save(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"ids-{name}")
         return store.save(_verified(near, _sets(docs, ids, k), percent), f"links-{name}")
 
-    def placed(links: DataFrame, name: str) -> DataFrame:
-        """The buckets that hold several components: key, id, n, m, comp and that of the smallest member, hc."""
+    def placed(members: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """Of bucket members those whose buckets hold several components: key, id, n, m, comp and that of the head, hc."""
         comp = store.save(components(links, store, name), name)
-        own = store.save(shared.join(comp, shared.id == comp.node, "left").select("key", "id", "n", "m", F.coalesce("component", "id").alias("comp")), f"placed-{name}")
-        open_ = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("comp", "id").alias("hc")).where("lo != hi")
+        own = store.save(members.join(comp, members.id == comp.node, "left").select("key", "id", "n", "head", "m", F.coalesce("component", "id").alias("comp")), f"placed-{name}")
+        open_ = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.when(F.col("id") == F.col("head"), F.col("comp"))).alias("hc")).where("lo != hi")
         rest = store.save(own.join(store.save(open_.select("key", "hc"), f"open-{name}"), "key"), f"rest-{name}")
         store.drop(f"placed-{name}", f"open-{name}")
         return rest
 
-    rows_shared = shared.count()
-    links = verified(shared.where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "stars1")
-    rest = placed(links, "comp1")
-    for turn in range(2, STARS + 1):  # of what isn't in the component of its bucket's smallest
-        others = rest.where(f"m > {LISTED} AND comp != hc")
-        low = others.groupBy("key").agg(F.min("id").alias("head"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"))
+    stars = lambda members: members.where("id != head").select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct()
+    links = verified(stars(shared), "stars1")
+    rest = level = placed(shared, links, "comp1")
+    before = math.inf
+    for turn in range(2, STARS + 1):  # what isn't in the component of its head is compared to a head of its own, any of its members
+        others = level.where(f"m > {LISTED} AND comp != hc")
+        low = others.groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("head"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"))
         low = store.save(low.where("lo != hi").select("key", "head", "c"), f"low{turn}")
-        if (low.agg(F.sum(F.col("c") * F.col("c"))).first()[0] or 0) <= OPEN_PAIRS * rows_shared:
+        pairs = low.agg(F.sum(F.col("c") * F.col("c"))).first()[0] or 0
+        if pairs <= OPEN_PAIRS * rows_shared or pairs > before / 2:
             break
-        stars = others.join(low, "key").where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-        links = links.unionByName(verified(stars, f"stars{turn}"))
-        rest = placed(links, f"comp{turn}")
+        before, others = pairs, store.save(others.drop("head").join(low, "key").select("key", "id", "n", "head", "m"), f"others{turn}")
+        links = links.unionByName(verified(stars(others), f"stars{turn}"))
+        level = placed(others, links, f"comp{turn}")
+    if before < math.inf:
+        rest = placed(shared, links, "comp")
     # the rest: buckets with several components
     few = rest.where(F.col("m") <= LISTED)
     x, y = (few.select("key", *(F.col(c).alias(f"{c}{s}") for c in ("id", "n", "comp"))) for s in ("1", "2"))
