@@ -4,10 +4,11 @@ A Workspace has the tables of one collection. Files are never touched: renames,
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import wraps
-from threading import Lock
+from threading import Lock, get_ident
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,22 +37,12 @@ class ClusterData:
 
 
 def _job(f: Callable) -> Callable:
-    """One such job at a time, in a job group of its own that cancel() ends."""
+    """What such a call runs while it makes its plan is one job; see Workspace.run for the job that runs the plan itself."""
 
     @wraps(f)
     def run(self: Workspace, *args, **kwargs):
-        if not self._lock.acquire(blocking=False):
-            raise Busy(f.__name__)
-        sc = self.spark.sparkContext
-        try:
-            sc.setJobGroup(self.job, f.__name__, interruptOnCancel=True)
-            self._tell(f"{f.__name__}: started")
-            out = f(self, *args, **kwargs)
-            self._tell(f"{f.__name__}: done")
-            return out
-        finally:
-            sc._jsc.clearJobGroup()
-            self._lock.release()
+        with self._guard(f.__name__):
+            return f(self, *args, **kwargs)
 
     return run
 
@@ -72,6 +63,35 @@ class Workspace:
     job: str = "tessel"
     listeners: list[Callable[[str], None]] = field(default_factory=list)
     _lock: Lock = field(default_factory=Lock)
+    _owner: int | None = None
+
+    @contextmanager
+    def _guard(self, name: str) -> Iterator[None]:
+        """One job at a time, in a job group of its own that cancel() ends; jobs within a job of the same thread are part of it."""
+        if self._owner == get_ident():
+            yield
+            return
+        if not self._lock.acquire(blocking=False):
+            raise Busy(name)
+        sc = self.spark.sparkContext
+        self._owner = get_ident()
+        try:
+            sc.setJobGroup(self.job, name, interruptOnCancel=True)
+            self._tell(f"{name}: started")
+            yield
+            self._tell(f"{name}: done")
+        except BaseException:
+            self._tell(f"{name}: failed")
+            raise
+        finally:
+            sc._jsc.clearJobGroup()
+            self._owner = None
+            self._lock.release()
+
+    def run(self, plan: DataFrame | Callable[[], DataFrame], sink: Callable[[DataFrame], object] = lambda df: df.toPandas(), name: str = "run") -> object:
+        """Executes a plan (or what a call makes) as a job: while it runs another one is Busy and cancel() ends it. ``sink`` takes the rows, by default to pandas."""
+        with self._guard(name):
+            return sink(plan() if callable(plan) else plan)
 
     def _tell(self, what: str) -> None:
         for listener in self.listeners:
@@ -194,8 +214,8 @@ class Workspace:
     def merge_suggestions(self, threshold: float = 0.65, per_group: int = 8, max_size: int = 0) -> DataFrame:
         if self.patches is None:
             raise MissingModel("patches")
-        make = lambda: pairs.group_similarity(self.members, self.patches)
-        scores = self.store.cached("similarity", {}, [self.members, self.patches.select("image_id")], make) if self.store else make()
+        make = lambda: pairs.group_similarity(self.members, self.patches, max_size)
+        scores = self.store.cached("similarity", {"max_size": max_size}, [self.members, self.patches], make) if self.store else make()
         return pairs.merge_suggestions(scores, threshold, per_group, max_size, self.members)
 
     # --- plans
@@ -206,7 +226,7 @@ class Workspace:
     def organize(self, numbered: bool = True) -> DataFrame:
         return renames.organize_plan(self.members, self.images, numbered)
 
-    def reorder_by_groups(self) -> tuple[DataFrame, DataFrame]:
+    def order_on_disk(self) -> tuple[DataFrame, DataFrame]:
         return ordering.grouped_first_on_disk(self.images.select("filename"), self.members)
 
     def delete(self, names: DataFrame) -> tuple[DataFrame, DataFrame]:

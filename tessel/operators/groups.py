@@ -168,9 +168,15 @@ def accept_clusters(clusters: DataFrame, members: DataFrame, min_size: int) -> D
 
 
 def confirmed_first(clusters: DataFrame) -> DataFrame:
-    """(cluster_id, pos): clusters with a confirmed group first; a cluster split from one stands in its section."""
-    parent = clusters.select(F.col("cluster_id").alias("split_from"), F.col("confirmed_group").isNotNull().alias("up"))
-    rows = clusters.join(parent, "split_from", "left").withColumn("first", F.col("confirmed_group").isNotNull() | F.coalesce("up", F.lit(False)))
+    """(cluster_id, pos): clusters with a confirmed group first; a cluster split from an earlier one stands in its section, and so do those split from it.
+
+    The cluster that a chain of splits comes from is found by pointers that double: as many joins as the logarithm of the longest chain."""
+    at = clusters.select(F.col("cluster_id").alias("split_from"), F.col("pos").alias("before"))
+    rows = clusters.select("cluster_id", "pos", "split_from", F.col("confirmed_group").isNotNull().alias("first")).join(at, "split_from", "left")
+    rows = rows.select("cluster_id", "pos", "first", F.when(~F.col("first") & (F.col("before") < F.col("pos")), F.col("split_from")).alias("up"))
+    while rows.where("up IS NOT NULL").limit(1).count():
+        over = rows.select(F.col("cluster_id").alias("up"), F.col("first").alias("also"), F.col("up").alias("further"))
+        rows = rows.join(over, "up", "left").select("cluster_id", "pos", (F.col("first") | F.coalesce("also", F.lit(False))).alias("first"), F.when(~F.coalesce("also", F.lit(False)), F.col("further")).alias("up"))
     return rows.select("cluster_id", (F.row_number().over(Window.orderBy(F.desc("first"), "pos")) - 1).cast("long").alias("pos"))
 
 

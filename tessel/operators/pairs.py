@@ -95,9 +95,12 @@ GROUP_PAIRS = "group_a string, group_b string, a_pos long, b_pos long, size_a lo
 def group_similarity(members: DataFrame, patches: DataFrame, max_combined: int = 0, min_size: int = 2, block: int = 16) -> DataFrame:
     """Scores of every pair of groups, in group order: of all member pairs' patch scores in falling order the ones at n/2 and 3n/4, the best, and its pair (the first in member order).
 
-    members: group_id, group_pos, image_id, member_pos. Groups of fewer than ``min_size`` members with patches are left out; pairs of more than ``max_combined`` members (0: no limit) aren't scored."""
+    members: group_id, group_pos, image_id, member_pos. Groups of fewer than ``min_size`` members with patches are left out; pairs of more than ``max_combined`` members (0: no limit) aren't scored, and
+    a group that is too large for any partner isn't read."""
     rows = members.join(patches.select("image_id", "patches"), "image_id")
     sizes = rows.groupBy("group_id").agg(F.count("*").alias("size")).where(F.col("size") >= min_size)
+    if max_combined:
+        sizes = sizes.where(F.col("size") <= max_combined - min_size)
     groups = members.select("group_id", "group_pos").distinct().join(sizes, "group_id")
     dealt = block_pairs(groups, "group_id", block, ["group_id", "group_pos", "size"])
     rows = dealt.join(rows.select("group_id", "image_id", "member_pos", "patches"), "group_id")

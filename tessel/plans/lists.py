@@ -281,9 +281,10 @@ def accept_clusters(spark, d):
     return groups.accept_clusters(c, _members(spark, d), 10).select("group_id", "group_pos", "filename", "member_pos")
 
 
-@query(_PC + ", s AS (SELECT *, CASE WHEN cluster_id % 4 = 2 THEN cluster_id - 1 END AS split_from FROM c) SELECT s.cluster_id, row_number() OVER (ORDER BY (s.confirmed_group IS NOT NULL OR coalesce(p.confirmed_group IS NOT NULL AND p.cluster_id IS NOT NULL, false)) DESC, s.cluster_id) - 1 AS pos FROM s LEFT JOIN c p ON s.split_from = p.cluster_id")
+@query(_PC + """, s AS (SELECT *, CASE WHEN cluster_id % 4 IN (2, 3) THEN cluster_id - 1 END AS split_from FROM c), f(cluster_id) AS (SELECT cluster_id FROM s WHERE confirmed_group IS NOT NULL UNION SELECT s.cluster_id FROM s JOIN f ON s.split_from = f.cluster_id AND s.cluster_id > f.cluster_id)
+SELECT cluster_id, row_number() OVER (ORDER BY cluster_id IN (SELECT cluster_id FROM f) DESC, cluster_id) - 1 AS pos FROM s""")
 def confirmed_first(spark, d):
-    c = _plain_clusters(spark, d).withColumn("split_from", F.when(F.col("cluster_id") % 4 == 2, F.col("cluster_id") - 1))
+    c = _plain_clusters(spark, d).withColumn("split_from", F.when((F.col("cluster_id") % 4).isin(2, 3), F.col("cluster_id") - 1))
     return groups.confirmed_first(c)
 
 
@@ -395,14 +396,14 @@ def natural_listing(spark, d):
     return renames.listing(X.files(spark, d).select(F.concat(F.lit("img"), F.col("pos").cast("string"), F.lit(".jpg")).alias("filename")).unionByName(spark.createDataFrame([(".hidden.jpg",), ("notes.txt",)], "filename string")))
 
 
-@query(IM + """, c AS (SELECT pos, 0.5 + (image_id % 10) / 10.0::DOUBLE AS aspect FROM images WHERE pos < 50), r AS (SELECT *, pos // 4 AS row, avg(aspect) OVER () AS mean FROM c), h AS (SELECT *, CAST(round(2000 / (sum(aspect) OVER (PARTITION BY row) + (4 - count(*) OVER (PARTITION BY row)) * mean)) AS BIGINT) AS h FROM r),
+@query(IM + """, c AS (SELECT pos, 0.5 + (image_id % 10) / 10.0::DOUBLE AS aspect FROM images), r AS (SELECT *, pos // 4 AS row, avg(aspect) OVER () AS mean FROM c), h AS (SELECT *, CAST(round(2000 / (sum(aspect) OVER (PARTITION BY row) + (4 - count(*) OVER (PARTITION BY row)) * mean)) AS BIGINT) AS h FROM r),
   w0 AS (SELECT *, CAST(round(h * aspect) AS BIGINT) AS w_ FROM h), w AS (SELECT * EXCLUDE (w_), CASE WHEN count(*) OVER (PARTITION BY row) = 4 AND pos % 4 = 3 THEN 2000 - (sum(w_) OVER (PARTITION BY row) - w_) ELSE w_ END::BIGINT AS w FROM w0), t AS (SELECT row, coalesce(sum(h) OVER (ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS y FROM (SELECT DISTINCT row, h FROM w)) SELECT pos, row, CAST(coalesce(sum(w) OVER (PARTITION BY row ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS x, CAST(y AS BIGINT) AS y, w, h FROM w JOIN t USING (row)""")
 def justified_layout(spark, d):
-    cells = _images(spark, d).where("pos < 50").select("pos", (F.lit(0.5) + (F.col("image_id") % 10) / F.lit(10.0)).alias("aspect"))
+    cells = _images(spark, d).select("pos", (F.lit(0.5) + (F.col("image_id") % 10) / F.lit(10.0)).alias("aspect"))
     return renames.justified(cells, 4)
 
 
-@query("""SELECT doc_id, lower(substr(sha1(least(source, lang) || chr(10) || greatest(source, lang)), 1, 8)) AS hash8, substr(regexp_replace(substr(text, 1, 60), '[^a-zA-Z0-9_-]', '_', 'g'), 1, 80) AS safe, CASE WHEN length(source || lang || doc_id) <= 7 THEN source || lang || doc_id ELSE left(source || lang || doc_id, 4) || '…' || right(source || lang || doc_id, 2) END AS cut,
+@query("""SELECT doc_id, lower(substr(sha1(least(source, lang) || chr(10) || greatest(source, lang)), 1, 8)) AS hash8, substr(regexp_replace(text, '[^a-zA-Z0-9_-]', '_', 'g'), 1, 80) AS safe, CASE WHEN length(source || lang || doc_id) <= 7 THEN source || lang || doc_id ELSE left(source || lang || doc_id, 4) || '…' || right(source || lang || doc_id, 2) END AS cut,
   replace(replace('<' || source || '&' || lang || '>', '&', '&amp;'), '<', '&lt;') AS half_escaped, CASE doc_id % 3 WHEN 0 THEN 'image/png' WHEN 1 THEN 'text/html' ELSE 'application/octet-stream' END AS mime, 'W/"' || doc_id || '-' || n_chars || '"' AS etag, trim(regexp_replace('00' || doc_id || ' - ' || source, '^\\d+\\s*-\\s*', '')) AS bare FROM documents""")
 def name_functions(spark, d):
     t = X.read(spark, d, "documents")
@@ -411,7 +412,7 @@ def name_functions(spark, d):
     return t.select(
         "doc_id",
         text.batch_hash(F.array("source", "lang")).alias("hash8"),
-        text.safe_name(F.substring("text", 1, 60)).alias("safe"),
+        text.safe_name(F.col("text")).alias("safe"),
         text.middle_cut(name, F.lit(7)).alias("cut"),
         F.replace(escaped, F.lit("&gt;"), F.lit(">")).alias("half_escaped"),
         text.mime_type(F.concat(F.lit("a/b."), F.when(F.col("doc_id") % 3 == 0, "PNG").when(F.col("doc_id") % 3 == 1, "html").otherwise("zip"))).alias("mime"),

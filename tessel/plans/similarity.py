@@ -176,7 +176,7 @@ def group_similarity(spark, d):
 @query(_GROUPS + """, two AS (SELECT group_a AS r, group_b AS o, b_pos AS p, 1 - patch_median AS d FROM gs WHERE patch_median >= 0.3 AND size_a + size_b <= 100 UNION ALL SELECT group_b, group_a, a_pos, 1 - patch_median FROM gs WHERE patch_median >= 0.3 AND size_a + size_b <= 100),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY d, p) AS rank, min(d) OVER (PARTITION BY r) AS best FROM two) SELECT r AS ref_group, CAST(rank AS INTEGER) AS rank, o AS similar_group, round(d, 6) AS distance, round(best, 6) AS best FROM ranked WHERE rank <= 3""")
 def merge_suggestions_topk(spark, d):
-    got = pairs.group_similarity(X.members(spark, d), X.patches(spark, d))
+    got = pairs.group_similarity(X.members(spark, d), X.patches(spark, d), max_combined=100)
     got = pairs.merge_suggestions(got, min_score=0.3, per_group=3, max_size=100, groups=X.members(spark, d))
     return got.select("ref_group", "rank", "similar_group", _d(), _d("best"))
 

@@ -75,13 +75,91 @@ def test_adaptive_cut_keeps_clusters_that_persist():
     assert cuts.cut_adaptive(6, s, 3, 0) == [0, 0, 0, 1, 1, 1]
 
 
+def plain_adaptive(n, merges, least):
+    """The rule on sets of items: clusters as rows, looked up by the set that holds them."""
+    sets, holder = {i: frozenset([i]) for i in range(n)}, {}
+    rows = []  # birth, death, size, parent, children
+    first = [-1] * n
+    top = {i: i for i in range(n)}
+
+    def under(child, parent, d):
+        rows[child][1], rows[child][3] = d, parent
+        rows[parent][4].append(child)
+
+    for a, b, d in merges:
+        if d >= 1e10:
+            break
+        x, y = sets[a], sets[b]
+        z = x | y
+        cx, cy = holder.get(x), holder.get(y)
+        if len(x) >= least and len(y) >= least or (len(z) >= least and cy is None):
+            rows.append([d, float("inf"), len(z), -1, []])
+            new = len(rows) - 1
+            for c in (cx, cy):
+                if c is not None:
+                    under(c, new, d)
+            if not (len(x) >= least and len(y) >= least):
+                first = [new if i in z and first[i] == -1 else first[i] for i in range(n)]
+            holder[z] = new
+        elif cy is not None:
+            holder[z] = cy
+        for i in z:
+            sets[i] = z
+    first = [holder.get(sets[i], -1) if f == -1 else f for i, f in enumerate(first)]
+    if not rows:
+        return None
+
+    def best(c):
+        birth, death, size, _, kids = rows[c]
+        own = size * max(0.0, (1 / birth if birth > 0 else 0) - (1 / death if 0 < death < float("inf") else 0))
+        down = [best(k) for k in kids]
+        total = sum(v for v, _ in down)
+        return (own, {c}) if own > total or not kids else (total, set().union(*(s for _, s in down)))
+
+    chosen = set().union(*(best(c)[1] for c in range(len(rows)) if rows[c][3] == -1))
+    labels = []
+    for c in first:
+        while c >= 0 and c not in chosen:
+            c = rows[c][3]
+        labels.append(c)
+    sets = {i: [i] for i in range(n)}
+    for a, b, d in merges:
+        if d >= 1e10:
+            break
+        x, y = sets[a], sets[b]
+        la, lb = (next((labels[i] for i in s if labels[i] >= 0), -1) for s in (x, y))
+        for i in x + y:
+            if labels[i] < 0:
+                labels[i] = max(la, lb) if min(la, lb) < 0 else labels[i]
+        for i in (z := y + x):
+            sets[i] = z
+    return [("c", labels[i]) if labels[i] >= 0 else ("o", min(sets[i])) for i in range(n)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(1, 30), st.integers(1, 6), st.integers(0, 10**6))
+def test_adaptive_cut_equals_the_plain_rule(n, least, seed):
+    rng = np.random.default_rng(seed)
+    open_, merges, d = list(range(n)), [], 0.0
+    for _ in range(n - 1):
+        a, b = rng.choice(len(open_), 2, replace=False)
+        d += float(rng.choice([0, 0.125, 0.5, 2]))
+        merges.append((open_[a], open_[b], d if rng.random() < 0.95 else 1e18))
+        open_.pop(a)
+    s = chain(*merges) if merges else frame([])
+    want = plain_adaptive(n, [(a, b, float(np.float32(d))) for a, b, d in merges], least)
+    got = cuts.cut_adaptive(n, s, least, 0)
+    if want is None:
+        assert got == cuts.cut_count(n, s, max(50, n // 30), 0)
+    else:
+        assert [want.index(w) for w in want] == [got.index(g) for g in got]
+
+
 def test_a_small_side_is_treated_by_which_side_keeps_its_number():
-    keeps = chain((0, 1, 0.1), (1, 2, 0.1), (3, 2, 0.5))  # the small one (3) goes: the node lives on
-    nodes, first = cuts._condense(4, keeps, 3)
-    assert len(nodes) == 1 and nodes[0].death == np.inf and first == [0, 0, 0, 0]
-    goes = chain((0, 1, 0.1), (1, 2, 0.1), (2, 3, 0.5))  # the large one goes: a new node over it
-    nodes, first = cuts._condense(4, goes, 3)
-    assert [(n.parent, n.death) for n in nodes] == [(1, np.float32(0.5)), (-1, np.inf)] and first == [0, 0, 0, 1]
+    keeps = chain((0, 1, 0.1), (1, 2, 0.1), (3, 2, 0.5))  # the small one (3) goes: the cluster lives on
+    assert cuts._persistent(cuts._Tree.of(4, keeps), 3).tolist() == [1, 1, 1, 1]
+    goes = chain((0, 1, 0.1), (1, 2, 0.1), (2, 3, 0.5))  # the large one goes: a new cluster over it, in which it is worth more
+    assert cuts._persistent(cuts._Tree.of(4, goes), 3).tolist() == [1, 1, 1, -1]
 
 
 def test_without_persistent_clusters_the_count_decides():
@@ -91,7 +169,7 @@ def test_without_persistent_clusters_the_count_decides():
 
 def test_orphans_take_the_label_they_meet_first():
     s = chain((0, 1, 0.1), (2, 3, 0.1), (4, 1, 0.4), (5, 3, 0.5), (1, 3, 1.0), (6, 3, 1e18))
-    assert cuts._place_orphans(7, s, [0, 0, 1, 1, -1, -1, -1]) == [0, 0, 1, 1, 0, 1, 2]
+    assert cuts._with_orphans(cuts._Tree.of(7, s), [0, 0, 1, 1, -1, -1, -1]) == [0, 0, 1, 1, 0, 1, 2]
 
 
 def test_too_many_items_are_an_error(spark):
@@ -102,3 +180,29 @@ def test_too_many_items_are_an_error(spark):
 
 def test_zero_vectors_are_at_distance_one():
     assert linkage.cosine_matrix(np.array([[0.0, 0.0], [1.0, 0.0]]))[0, 1] == 1
+
+
+def test_chains_of_splits_stand_in_one_section(spark):
+    from tessel.operators import groups
+
+    rows = [("a", 0, None, "g"), ("b", 1, "a", None), ("d", 2, None, None), ("c", 3, "b", None), ("e", 4, "f", None), ("f", 5, None, "g2"), ("h", 6, "d", None)]
+    got = groups.confirmed_first(spark.createDataFrame(rows, "cluster_id string, pos long, split_from string, confirmed_group string")).orderBy("pos").collect()
+    assert [r.cluster_id for r in got] == ["a", "b", "c", "f", "d", "e", "h"]
+
+
+def test_a_job_guards_its_execution(spark):
+    from tessel.api import Busy, Workspace
+
+    w = Workspace(spark, None, None, None)
+    told = []
+    w.listeners.append(told.append)
+
+    def make():
+        assert w.running()
+        w._owner = -1  # as another thread sees it
+        with pytest.raises(Busy):
+            w.run(lambda: spark.range(1))
+        w._owner = __import__("threading").get_ident()
+        return spark.range(3)
+
+    assert len(w.run(make)) == 3 and not w.running() and told == ["run: started", "run: done"]
