@@ -206,7 +206,7 @@ class Workspace:
         """(filename, distance, group_id, name); 50 results, by centroid, over any item unless said otherwise."""
         wanted = self.spark.createDataFrame([(f,) for f in dict.fromkeys(filenames)], "filename string").join(self.images, "filename").select("image_id")
         if options.pop("use_patches", False) and self.patches is not None:
-            options["patches"] = pairs.patch_pairs(self.patches)
+            options["patches"] = self.patches
         got = knn.nearest(self.models, wanted, weights or {self.fallback: 1.0}, members=self.members, fallback=self.fallback, **options)
         return got.join(self.images.select("image_id", "filename"), "image_id").orderBy("distance", "image_id").select("filename", "distance", "group_id", "name")
 

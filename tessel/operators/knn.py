@@ -1,16 +1,28 @@
-"""Nearest items to a set of query items over several models."""
+"""Nearest items to a set of query items over several models.
+
+The query is cut to MOST_QUERY items first, so what it is compared by is a small matrix a model; items meet it in one pass, a
+matrix product for each Arrow batch."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tessel.functions import vectors as V
+from tessel.operators.pairs import patch_score_matrix, stack_patches
 
 #: Models in their order, the most results, the most query items that are compared.
 MODELS = ["clip", "dino", "dinov3", "pecore_l", "pecore_g", "color"]
 MOST_RESULTS, MOST_QUERY = 500, 64
 PATCH_WEIGHT = 1.0
+#: Products of patches that are held at once.
+PATCH_PRODUCTS = 1 << 22
 
 
 def active_models(weights: dict[str, float | None], known: list[str], fallback: str) -> dict[str, float]:
@@ -28,49 +40,75 @@ def downsampled(query: DataFrame, most: int = MOST_QUERY, key: str = "image_id")
     return rows.where((F.col("__n") <= most) | ((step < most) & (F.floor(step * F.col("__n") / most) == F.col("__r")))).select(key)
 
 
-def _scaled(models: DataFrame, needs_norm: frozenset[str]) -> DataFrame:
-    n = V.norm(F.col("vec"))
-    row_norm = F.when(F.col("model").isin(*needs_norm), F.when(n > 0, n).otherwise(V.LEAST_NORM)).otherwise(1.0) if needs_norm else F.lit(1.0)
-    return models.withColumn("row_norm", row_norm)
-
-
-def centroids(models: DataFrame, query: DataFrame, needs_norm: frozenset[str] = frozenset()) -> DataFrame:
-    """(model, centroid): the mean of the query items' (unit) vectors at norm 1."""
-    rows = _scaled(models.join(query.select("image_id"), "image_id", "left_semi"), needs_norm)
-    parts = rows.select("model", "row_norm", F.posexplode("vec").alias("d", "x")).groupBy("model", "d").agg(F.avg(F.col("x") / F.col("row_norm")).alias("x"))
-    vec = parts.groupBy("model").agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("v")).select("model", F.transform("v", lambda p: p["x"]).alias("v"))
-    n = V.norm(F.col("v"))
-    return vec.select("model", F.transform("v", lambda x: x / F.when(n > 0, n).otherwise(V.LEAST_NORM)).alias("centroid"))
+def _norms(x: np.ndarray) -> np.ndarray:
+    n = np.sqrt((x * x).sum(axis=1))
+    return np.where(n > 0, n, V.LEAST_NORM)
 
 
-def model_distances(models: DataFrame, query: DataFrame, aggregation: str, needs_norm: frozenset[str] = frozenset()) -> DataFrame:
-    """(image_id, model, d): distance to the query's centroid, or to the nearest query item. What is broadcast is a centroid a model, or MOST_QUERY rows a model."""
-    rows = _scaled(models, needs_norm)
-    if aggregation == "centroid":
-        near = rows.join(F.broadcast(centroids(models, query, needs_norm)), "model")
-        return near.select("image_id", "model", F.greatest(F.lit(0.0), 1 - V.dot(F.col("centroid"), F.col("vec")) / F.col("row_norm")).alias("d"))
-    if aggregation != "min":
+def query_vectors(rows: list[Row], aggregation: str, needs_norm: frozenset[str] = frozenset()) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Of each model the vectors that items are compared to and their norms: the mean of the query items' (unit) vectors at norm 1, or all of them."""
+    if aggregation not in ("centroid", "min"):
         raise ValueError(f"unknown aggregation {aggregation}")
-    q = rows.join(query.select("image_id"), "image_id", "left_semi").select("model", F.col("vec").alias("qvec"), F.col("row_norm").alias("qnorm"))
-    near = rows.join(F.broadcast(q), "model")
-    d = F.greatest(F.lit(0.0), 1 - V.dot(F.col("qvec"), F.col("vec")) / (F.col("row_norm") * F.col("qnorm")))
-    return near.groupBy("image_id", "model").agg(F.min(d).alias("d"))
-
-
-def patch_query_distances(pairs: DataFrame, query: DataFrame, aggregation: str) -> DataFrame:
-    """(image_id, d) from condensed patch distances (i, j, d): the mean over the query or the least; an item is at 0 from itself."""
-    both = pairs.select(F.col("i").alias("image_id"), F.col("j").alias("q"), "d").unionByName(pairs.select(F.col("j").alias("image_id"), F.col("i").alias("q"), "d"))
-    q = query.select(F.col("image_id").alias("q"))
-    near = both.join(F.broadcast(q), "q", "left_semi").select("image_id", "d").unionByName(query.select("image_id", F.lit(0.0).alias("d")))
-    return near.groupBy("image_id").agg((F.avg if aggregation == "centroid" else F.min)("d").alias("d"))
-
-
-def blended(models: DataFrame, query: DataFrame, weights: dict[str, float], aggregation: str = "centroid", needs_norm: frozenset[str] = frozenset(), patches: DataFrame | None = None) -> DataFrame:
-    """(image_id, distance): the models' distances weighed linearly, patches with weight 1."""
+    own: dict[str, list] = {}
+    for r in sorted(rows, key=lambda r: r.image_id):
+        own.setdefault(r.model, []).append(r.vec)
+    out = {}
+    for model, vectors in own.items():
+        q = np.array(vectors, np.float64)
+        n = _norms(q) if model in needs_norm else np.ones(len(q))
+        if aggregation == "centroid":
+            q = (q / n[:, None]).mean(axis=0, keepdims=True)
+            q, n = q / _norms(q)[:, None], np.ones(1)
+        out[model] = q, n
+    return out
+
+
+def model_distances(models: DataFrame, wanted: dict[str, tuple[np.ndarray, np.ndarray]], needs_norm: frozenset[str] = frozenset()) -> DataFrame:
+    """(image_id, model, d): distance to the query's centroid, or to the nearest query item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for model, (q, qn) in wanted.items():
+                own = b.filter(pc.equal(b.column(1), model))
+                if not own.num_rows:
+                    continue
+                x = own.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(own.num_rows, -1)
+                n = _norms(x) if model in needs_norm else np.ones(len(x))
+                dots = np.einsum("ij,kj->ik", x, q)  # equal vectors get equal sums, wherever they stand in a batch
+                d = np.maximum(0.0, 1 - dots / (n[:, None] * qn[None, :])).min(axis=1)
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(d)], ["image_id", "model", "d"])
+
+    kind = models.schema["image_id"].dataType.simpleString()
+    rows = models.where(F.col("model").isin(*wanted)).select("image_id", "model", F.col("vec").cast("array<double>").alias("vec"))
+    return rows.mapInArrow(run, f"image_id {kind}, model string, d double")
+
+
+def patch_query_distances(patches: DataFrame, ids: list, aggregation: str) -> DataFrame:
+    """(image_id, d): one less the patch match score, the mean over the query items ``ids`` (at most MOST_QUERY) that have patches or the least; an item is at 0 from itself."""
+    rows = sorted(patches.where(F.col("image_id").isin(*ids)).select("image_id", "patches").collect(), key=lambda r: r.image_id)
+    kind = patches.schema["image_id"].dataType.simpleString()
+    q, q_ids = (stack_patches(pd.Series([r.patches for r in rows])) if rows else None), np.array([r.image_id for r in rows])
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            if q is None or pdf.empty:
+                continue
+            step = max(1, PATCH_PRODUCTS // (len(pdf.patches.iloc[0]) * q.shape[0] * q.shape[1]))
+            for s in range(0, len(pdf), step):
+                own = pdf.iloc[s : s + step]
+                d = np.maximum(0.0, 1 - patch_score_matrix(stack_patches(own.patches), q))
+                d[own.image_id.to_numpy()[:, None] == q_ids[None, :]] = 0.0
+                yield pd.DataFrame({"image_id": own.image_id, "d": d.mean(axis=1) if aggregation == "centroid" else d.min(axis=1)})
+
+    return patches.select("image_id", "patches").mapInPandas(run, f"image_id {kind}, d double")
+
+
+def blended(distances: DataFrame, weights: dict[str, float], patches: DataFrame | None = None) -> DataFrame:
+    """(image_id, distance): the models' distances (image_id, model, d) weighed linearly, those of patches (image_id, d) with weight 1."""
     w = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))
-    rows = model_distances(models.where(F.col("model").isin(*weights)), query, aggregation, needs_norm).select("image_id", "d", w[F.col("model")].alias("w"))
+    rows = distances.select("image_id", "d", w[F.col("model")].alias("w"))
     if patches is not None:
-        rows = rows.unionByName(patch_query_distances(patches, query, aggregation).withColumn("w", F.lit(PATCH_WEIGHT)))
+        rows = rows.unionByName(patches.withColumn("w", F.lit(PATCH_WEIGHT)))
     return rows.groupBy("image_id").agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("distance"))
 
 
@@ -96,23 +134,30 @@ def nearest(
 ) -> DataFrame:
     """(image_id, distance, group_id, name): the nearest items, ties to the smaller id; filters apply before the cut.
 
-    models: image_id, model, vec. Query items without vectors are ignored; if none has any, an error is raised."""
-    known = query.select("image_id").distinct().join(models.select("image_id"), "image_id", "left_semi")
-    if not known.limit(1).count():
+    models: image_id, model, vec (null vectors don't count); patches: image_id, patches, if they are to count. What comes to the driver are the
+    names of the models and the vectors of ``most_query`` items at most. Query items without vectors are ignored; if none has any, an error is raised."""
+    models = models.where(F.col("vec").isNotNull())
+    known = query.select("image_id").join(models.select("image_id"), "image_id", "left_semi")
+    asked = models.join(downsampled(known, most_query), "image_id", "left_semi").select("image_id", "model", F.col("vec").cast("array<double>").alias("vec"))
+    names = models.select("model").distinct().select(F.lit(None).cast(models.schema["image_id"].dataType).alias("image_id"), "model", F.lit(None).cast("array<double>").alias("vec"))
+    got = asked.unionByName(names).collect()
+    rows = [r for r in got if r.vec is not None]
+    if not rows:
         raise ValueError("none of the query items has a vector")
-    names = [r.model for r in models.select("model").distinct().collect()]
-    use = active_models(weights, names, fallback)
-    got = blended(models, downsampled(known, most_query), use, aggregation, needs_norm, patches)
+    use = active_models(weights, [r.model for r in got if r.vec is None], fallback)
+    wanted = query_vectors([r for r in rows if r.model in use], aggregation, needs_norm)
+    by_patch = None if patches is None else patch_query_distances(patches, sorted({r.image_id for r in rows}), aggregation)
+    found = blended(model_distances(models, wanted, needs_norm), use, by_patch)
     if exclude_query:
-        got = got.join(F.broadcast(query.select("image_id").distinct()), "image_id", "left_anti")
+        found = found.join(query.select("image_id").distinct(), "image_id", "left_anti")
     if restrict is not None:
-        got = got.join(restrict.select("image_id"), "image_id", "left_semi")
+        found = found.join(restrict.select("image_id"), "image_id", "left_semi")
     if members is not None:
-        got = got.join(group_of(members), "image_id", "left")
+        found = found.join(group_of(members), "image_id", "left")
     else:
-        got = got.withColumns({"group_id": F.lit(None).cast("string"), "name": F.lit(None).cast("string")})
+        found = found.withColumns({"group_id": F.lit(None).cast("string"), "name": F.lit(None).cast("string")})
     if only == "in-group":
-        got = got.where(F.col("group_id").isNotNull())
+        found = found.where(F.col("group_id").isNotNull())
     elif only == "not-in-group":
-        got = got.where(F.col("group_id").isNull())
-    return got.orderBy("distance", "image_id").limit(max(1, min(top_n, MOST_RESULTS))).select("image_id", "distance", "group_id", "name")
+        found = found.where(F.col("group_id").isNull())
+    return found.orderBy("distance", "image_id").limit(max(1, min(top_n, MOST_RESULTS))).select("image_id", "distance", "group_id", "name")

@@ -75,7 +75,7 @@ def patch_score_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (dots.max(axis=3).sum(axis=1) + dots.max(axis=1).sum(axis=2)) / (p + q)
 
 
-def _stack(patches: pd.Series) -> np.ndarray:
+def stack_patches(patches: pd.Series) -> np.ndarray:
     return np.stack([np.stack(x) for x in patches]).astype(np.float64)
 
 
@@ -83,7 +83,7 @@ def patch_pairs(items: DataFrame, key: str = "image_id", block: int = 256) -> Da
     """(i, j, d) for i < j: one less the patch match score; ``patches`` is an array of unit vectors."""
 
     def distance(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-        return np.maximum(0.0, 1 - patch_score_matrix(_stack(a.patches), _stack(b.patches)))
+        return np.maximum(0.0, 1 - patch_score_matrix(stack_patches(a.patches), stack_patches(b.patches)))
 
     dealt = block_pairs(items.select(key, "patches"), key, block, [key, "patches"])
     return dealt.groupBy("ba", "bb").applyInPandas(lambda pdf: _upper(pdf, key, distance), "i long, j long, d double")
@@ -108,7 +108,7 @@ def group_similarity(members: DataFrame, patches: DataFrame, max_combined: int =
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         within, out = bool((pdf.ba == pdf.bb).all()), []
         groups = {k: g.sort_values("member_pos") for k, g in pdf.groupby("group_id")}
-        stacks = {k: _stack(g.patches) for k, g in groups.items()}
+        stacks = {k: stack_patches(g.patches) for k, g in groups.items()}
         first = {k: (int(g.group_pos.iloc[0]), int(g["size"].iloc[0]), int(g.side.iloc[0])) for k, g in groups.items()}
         order = sorted(groups, key=lambda k: first[k][0])
         for x, a in enumerate(order):

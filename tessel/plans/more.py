@@ -144,9 +144,12 @@ def diag_patch_resolution(spark, d):
     return got.select("group_a", "group_b", *(F.round(c, 6).alias(c) for c in ("full", "pooled", "delta")))
 
 
-@query(_MEMBER_PAIRS + """, best AS (SELECT ga, gb, i, min(cd * sd) AS p FROM mp GROUP BY ga, gb, i) SELECT 'color x full' AS combo, ga AS group_a, gb AS group_b, round(avg(p), 6) AS mean, round((list(p ORDER BY p))[1 + count(*) // 2], 6) AS median FROM best GROUP BY ga, gb""")
+@query(_MEMBER_PAIRS + """, best AS (SELECT ga, gb, i, min(cd * sd) AS p FROM mp GROUP BY ga, gb, i) SELECT 'color x full' AS combo, ga AS group_a, gb AS group_b, round(avg(p), 6) AS mean, round((list(p ORDER BY p))[1 + count(*) // 2], 6) AS median FROM best GROUP BY ga, gb
+UNION ALL SELECT 'full x full', ga, gb, round(avg(p), 6), round((list(p ORDER BY p))[1 + count(*) // 2], 6) FROM (SELECT ga, gb, i, min(sd * sd) AS p FROM mp GROUP BY ga, gb, i) GROUP BY ga, gb""")
 def diag_combos(spark, d):
-    got = diagnostics.combo_comparison({"color x full": diagnostics.multiplicative(_member_vectors(spark, d))})
+    m = _member_vectors(spark, d)
+    combos = {"color x full": m, "full x full": m.withColumn("color", F.col("vec"))}
+    got = diagnostics.combo_comparison({name: diagnostics.multiplicative(rows) for name, rows in combos.items()})
     return got.select("combo", "group_a", "group_b", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"))
 
 

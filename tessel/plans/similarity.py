@@ -111,7 +111,7 @@ def nn_downsample(spark, d):
 
 @query(_NN_BASE + _model_sql({"full": 1}, "centroid", patches=True) + _top_sql())
 def nn_patch_blend(spark, d):
-    return _nn(spark, d, {"full": 1.0}, patches=pairs.patch_pairs(X.patches(spark, d)))
+    return _nn(spark, d, {"full": 1.0}, patches=X.patches(spark, d))
 
 
 # --- pairs -------------------------------------------------------------------------------------------------------
