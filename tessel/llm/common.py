@@ -285,15 +285,31 @@ def _contracted(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "u long, v long")
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str, a: str = "a", b: str = "b") -> DataFrame:
+def _settled(edges: DataFrame) -> DataFrame:
+    """(node, component) of edges that one task may contract at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if held:
+            root, node = star_forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            own = np.unique(root)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node, own])), pa.array(np.concatenate([root, own]))], ["node", "component"])
+
+    return edges.coalesce(1).mapInArrow(run, "node long, component long")
+
+
+def components(edges: DataFrame, scratch: Scratch, name: str, a: str = "a", b: str = "b", chunk: int = CONTRACT_ROWS) -> DataFrame:
     """(node, component): for every node of the edges the smallest node reachable. Large-star and small-star in turn, and in every round
-    each task contracts its edges to stars, so that only the centres of stars have many.
+    each task contracts its edges to stars, so that only the centres of stars have many. As soon as no more edges are left than a task contracts
+    at once anyway (``chunk``), a last contraction settles them.
 
     Every round is written to the shared folder; nothing but one row at most comes to the driver. Sides are joined as written tables, so that
     a centre's edges can be split. Edges with null ends and loops say nothing."""
     e = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v")
     e = scratch.save(_contracted(e), f"{name}0")
     for turn in range(1, 200):
+        if e.count() <= chunk:
+            return _settled(e)
         ends = e.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.distinct().select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
         if not ends.groupBy("n").agg(F.max("up").alias("up"), F.sum("down").alias("down")).where("down > 1 OR up + down > 1").limit(1).count():
             break

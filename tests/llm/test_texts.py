@@ -67,11 +67,13 @@ def test_features_do_not_cross_texts():
     assert n.tolist() == [len(p) for p in parts] and sorted(a.tolist()) == sorted(np.concatenate(parts).tolist())
 
 
-def test_components_of_long_chains_and_stars(spark):
+@pytest.mark.parametrize("chunk", [0, 5, 1 << 20])  # stars in rounds only, both, one contraction
+def test_components_of_long_chains_and_stars(spark, chunk):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(200, 200), (300, 299), (299, 301)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t"), "c").collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t"), "c", chunk=chunk).collect()}
     want = {i: 0 for i in range(61)} | {i: 100 for i in range(100, 160)} | {i: 299 for i in (299, 300, 301)}
     assert got == want
+    assert components(spark.createDataFrame([(1, 1), (None, 2)], "a long, b long"), Scratch(spark, "t"), "c", chunk=chunk).count() == 0
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
