@@ -10,8 +10,8 @@ and, where partners may be smaller, in the band below. Candidates are verified b
 Sets that are equal are merged first. Then each bucket's members are compared to its smallest (a star, so a group of m
 copies costs m rows) and verified links are joined to components. While many pairs are open in large buckets, what isn't
 in their head's component is compared to one of its own members, and so on as long as that halves them; only buckets that
-hold several components after that are compared in full, by blocks of bounded size with the Hamming bound: a pair within a component
-could add nothing. So no pair of a group is listed for its own sake, yet no link between components is lost. Before the
+hold several components after that are compared in full, by blocks of bounded size with the Hamming bound, and the members of a bucket's
+largest component only to those outside it: a pair within a component could add nothing. So no pair of a group is listed for its own sake, yet no link between components is lost. Before the
 sets of two candidates are fetched their sketches are: a pair beyond the Hamming bound needs no more.
 
 Which keys several documents have reaches the documents as a filter of fixed size, so that keys of one document aren't
@@ -45,7 +45,7 @@ BROADCAST_ROWS = 500_000
 #: Buckets of up to this many rows list their pairs; larger ones are compared in blocks, and before that in stars (so often at most) while the pairs that
 #: are open in them are more than so many times the rows of all buckets and each round halves them.
 LISTED, STARS, OPEN_PAIRS = 32, 6, 8
-BLOCK_ROWS = 1024
+BLOCK_ROWS, BLOCK_BYTES = 2048, 32 << 20
 #: Bytes of text whose words are hashed at once (about a hundred bytes each).
 HASH_CHUNK = 1 << 19
 
@@ -245,6 +245,22 @@ def _block_pairs(pdf: pd.DataFrame, bands: Bands) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
+def _dealt(many: DataFrame, store: Scratch) -> DataFrame:
+    """(key, ca, cb, side, id, comp): members of large buckets dealt to blocks, so that each two of different components meet in one.
+
+    A bucket's largest component is chunked apart from the others: its members meet the others' chunks only, not each other's, so
+    the copies of a row grow with what is outside that component. Chunks are bounded by rows and by the bytes of their sketches."""
+    parts = many.groupBy("key", "comp").agg(F.count("*").alias("c"), F.max("n").alias("n"))
+    parts = parts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("c"), F.sum("c").alias("all"), F.max("n").alias("most"))
+    rows = F.least(F.lit(BLOCK_ROWS), F.greatest(F.lit(64), F.floor(F.lit(BLOCK_BYTES) / (16 * F.col("most")))))
+    parts = parts.select("key", "main", F.ceil(F.col("c") / rows).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("c")) / rows).cast("int").alias("others"))
+    many = many.select("key", "id", "comp").join(store.save(parts, "parts"), "key")
+    inside, total = F.col("comp") == F.col("main"), F.col("mains") + F.col("others")
+    chunk = F.when(inside, F.pmod(F.xxhash64("id"), F.col("mains"))).otherwise(F.col("mains") + F.pmod(F.xxhash64("id"), F.col("others"))).cast("int")
+    many = many.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.when(inside, F.col("mains")).otherwise(0), total - 1)))
+    return many.select("key", F.least("chunk", "other").alias("ca"), F.greatest("chunk", "other").alias("cb"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "id", "comp")
+
+
 def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row: linked where 100 * intersection >= percent * union."""
     spark = docs.sparkSession
@@ -299,10 +315,8 @@ def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
     x, y = (few.select("key", *(F.col(c).alias(f"{c}{s}") for c in ("id", "n", "comp"))) for s in ("1", "2"))
     close = (F.col("n1") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n1") * percent)
     listed = x.join(y, "key").where((F.col("id1") < F.col("id2")) & (F.col("comp1") != F.col("comp2")) & close).select(F.col("id1").alias("a"), F.col("id2").alias("b"))
-    many = rest.where(F.col("m") > LISTED).withColumn("chunks", F.ceil(F.col("m") / BLOCK_ROWS).cast("int"))
-    many = many.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    many = many.select("key", F.least("chunk", "other").alias("ca"), F.greatest("chunk", "other").alias("cb"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "id", "comp")
-    blocks = many.join(sketches, "id").groupBy("key", "ca", "cb").applyInPandas(lambda pdf: _block_pairs(pdf, bands), "a long, b long")
+    blocks = _dealt(rest.where(F.col("m") > LISTED), store)
+    blocks = blocks.join(sketches, "id").groupBy("key", "ca", "cb").applyInPandas(lambda pdf: _block_pairs(pdf, bands), "a long, b long")
     links = links.unionByName(verified(listed.unionByName(blocks).distinct(), "rest"))
     comp = store.save(components(links, store, "last"), "last")
     of_set = store.save(reps.join(comp, reps.id == comp.node, "left").select("fp", F.coalesce("component", "id").alias("component_id")), "sets")
