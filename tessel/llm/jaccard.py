@@ -248,14 +248,17 @@ def _block_pairs(pdf: pd.DataFrame, bands: Bands) -> pd.DataFrame:
 def _dealt(many: DataFrame, store: Scratch) -> DataFrame:
     """(key, ca, cb, side, id, comp): members of large buckets dealt to blocks, so that each two of different components meet in one.
 
-    A bucket's largest component is chunked apart from the others: its members meet the others' chunks only, not each other's, so
-    the copies of a row grow with what is outside that component. Chunks are bounded by rows and by the bytes of their sketches."""
+    A bucket that fits a block is one, and none of its rows is copied. In larger ones the largest component is chunked apart: its members
+    meet the others' chunks only, not each other's, so the copies of a row of it grow with what is outside. Chunks are bounded by rows and
+    by the bytes of their sketches."""
     parts = many.groupBy("key", "comp").agg(F.count("*").alias("c"), F.max("n").alias("n"))
     parts = parts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("c"), F.sum("c").alias("all"), F.max("n").alias("most"))
     rows = F.least(F.lit(BLOCK_ROWS), F.greatest(F.lit(64), F.floor(F.lit(BLOCK_BYTES) / (16 * F.col("most")))))
-    parts = parts.select("key", "main", F.ceil(F.col("c") / rows).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("c")) / rows).cast("int").alias("others"))
+    mains, others = F.ceil(F.col("c") / rows).cast("int"), F.ceil((F.col("all") - F.col("c")) / rows).cast("int")
+    one = F.col("all") <= rows
+    parts = parts.select("key", "main", F.when(one, 0).otherwise(mains).alias("mains"), F.when(one, 1).otherwise(others).alias("others"))
     many = many.select("key", "id", "comp").join(store.save(parts, "parts"), "key")
-    inside, total = F.col("comp") == F.col("main"), F.col("mains") + F.col("others")
+    inside, total = (F.col("comp") == F.col("main")) & (F.col("mains") > 0), F.col("mains") + F.col("others")
     chunk = F.when(inside, F.pmod(F.xxhash64("id"), F.col("mains"))).otherwise(F.col("mains") + F.pmod(F.xxhash64("id"), F.col("others"))).cast("int")
     many = many.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.when(inside, F.col("mains")).otherwise(0), total - 1)))
     return many.select("key", F.least("chunk", "other").alias("ca"), F.greatest("chunk", "other").alias("cb"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "id", "comp")
