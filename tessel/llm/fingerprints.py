@@ -64,6 +64,11 @@ def leaves(fingerprint: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(fingerprint, F.lit(f"-([0-9a-f]{{{PHRASE}}})"), F.lit(1)))
 
 
+def text_leaves(text: Column) -> Column:
+    """What ``leaves`` finds in a text's fingerprint, without the tree: texts are smaller to move than fingerprints, whose digits don't compress."""
+    return F.array_distinct(F.transform(_split(F.regexp_replace(text, PHRASE_END, "$1" + CUT), "\n\n|\n|" + CUT), lambda x: F.substring(F.md5(x), 1, PHRASE)))
+
+
 def leaf_likeness(same_root: Column, a: Column, b: Column) -> Column:
     """Of two sets of phrases."""
     n = F.size(a) + F.size(b)
@@ -115,21 +120,21 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     at, n = id_positions(own.select("id"), scratch)
     rows = own.join(at.withColumnRenamed("id", "key"), F.col("id").eqNullSafe(F.col("key"))).drop("key")
-    rows = with_fingerprint(rows, "text", "fp")
     place = lambda block, order, mine: F.struct(block.cast("long").alias("block"), order.cast("long").alias("order"), F.lit(mine).alias("own"))
     block, pos = F.floor(F.col("pos") / BLOCK), F.col("pos")
     first = F.when(pos == 0, place(F.lit((n - 1) // BLOCK), F.lit(n), False)).otherwise(place(block - 1, pos, False))
     places = F.when(pos % BLOCK == 0, F.array(place(block, pos, True), first)).otherwise(F.array(place(block, pos, True)))
-    met = rows.select("id", "text", "fp", F.explode(places).alias("p")).select("id", "text", "fp", "p.*")
+    met = rows.select("id", "text", F.explode(places).alias("p")).select("id", "text", "p.*")
     w = Window.partitionBy("block").orderBy("order").rangeBetween(1, 1)
-    met = met.withColumn("next", F.min(F.struct("text", "fp")).over(w)).where("own")
+    met = met.withColumn("next", F.min("text").over(w)).where("own")
+    met = with_fingerprint(met.select("id", "text", "next", F.length("text").cast("long").alias("n_chars")), "text", "fp")
     size = F.col("n_chars")
     third = F.floor(size / 3).cast("int")
-    got = met.withColumn("n_chars", F.length("text").cast("long"))
-    got = got.select("id", "n_chars", "fp", F.col("next.fp").alias("next_fp"), F.concat(F.substring("text", F.lit(1), (size - third).cast("int")), F.substring("next.text", F.lit(1), third)).alias("edited"))
+    edited = F.concat(F.substring("text", F.lit(1), (size - third).cast("int")), F.substring("next", F.lit(1), third))
+    got = met.select("id", "n_chars", "fp", (F.col("text") == F.col("next")).alias("same_next"), text_leaves(F.col("next")).alias("next_leaves"), edited.alias("edited"))
     got = with_fingerprint(got, "edited", "edited_fp").withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
-    got = got.withColumns({"mine": leaves(F.col("fp")), "edit_leaves": leaves(F.col("edited_fp")), "next_leaves": leaves(F.col("next_fp"))})
-    same = lambda c: F.substring("fp", 1, 64) == F.substring(c, 1, 64)
+    got = got.withColumns({"mine": leaves(F.col("fp")), "edit_leaves": leaves(F.col("edited_fp"))})
+    same_edit = F.substring("fp", 1, 64) == F.substring("edited_fp", 1, 64)
     where = F.get(differing(F.col("fp"), F.col("edited_fp")), F.lit(0))
     return got.select(
         F.col("id").alias(id_col),
@@ -137,7 +142,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         "edited_sha256",
         F.col("fp").alias("fingerprint"),
         F.col("edited_fp").alias("edited_fingerprint"),
-        leaf_likeness(same("edited_fp"), F.col("mine"), F.col("edit_leaves")).alias("near_edited"),
-        leaf_likeness(same("next_fp"), F.col("mine"), F.col("next_leaves")).alias("near_next"),
+        leaf_likeness(same_edit, F.col("mine"), F.col("edit_leaves")).alias("near_edited"),
+        leaf_likeness(F.col("same_next"), F.col("mine"), F.col("next_leaves")).alias("near_next"),
         F.concat_ws(".", where["section"], where["paragraph"]).alias("edited_at"),
     )
