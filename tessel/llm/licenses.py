@@ -68,14 +68,17 @@ def votes(docs: DataFrame, templates: list[Template], id_col: str = "doc_id", te
     """A row per text, template and diagonal: mask of the template's positions found, first and last word position. Template -1: the number of words."""
     words = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     words = words.select("row", "id", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"))
+    # each bigram carries its own two words, so a text costs what it is long; the first entry has the number of words
+    entry = lambda gram, a, b, n: F.struct(gram.alias("gram"), a.alias("a"), b.alias("b"), n.cast("int").alias("n"))
     n = F.greatest(F.size("words") - 1, F.lit(0))
-    grams = F.zip_with(F.slice("words", 1, n), F.slice("words", 2, n), lambda a, b: F.xxhash64(F.lower(a), F.lower(b)))
-    rolled = words.select("row", "id", "words", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), grams)).alias("pos", "gram"))
+    grams = F.zip_with(F.slice("words", 1, n), F.slice("words", 2, n), lambda a, b: entry(F.xxhash64(F.lower(a), F.lower(b)), a, b, F.lit(0)))
+    nothing = F.array(entry(F.lit(0).cast("long"), F.lit(""), F.lit(""), F.size("words")))
+    rolled = words.select("row", "id", F.posexplode(F.concat(nothing, grams)).alias("pos", "g")).select("row", "id", "pos", "g.*")
     at = F.broadcast(_positions(docs.sparkSession, templates))
-    low = lambda i: F.translate(F.get("words", i), UPPER, LOWER)
-    same = ((F.col("template") < 0) & (F.col("pos") == 0)) | ((F.col("template") >= 0) & (F.col("pos") > 0) & (low(F.col("pos") - 1) == F.col("w1")) & (low(F.col("pos")) == F.col("w2")))
+    low = lambda c: F.translate(c, UPPER, LOWER)
+    same = ((F.col("template") < 0) & (F.col("pos") == 0)) | ((F.col("template") >= 0) & (F.col("pos") > 0) & (low("a") == F.col("w1")) & (low("b") == F.col("w2")))
     hits = rolled.join(at, "gram").where(same)
-    hits = hits.select("row", "id", "template", "bit", "length", "label", "base", (F.col("pos") - 1).alias("pos"), F.when(F.col("template") < 0, F.size("words")).otherwise(F.col("pos") - 1 - F.col("at")).alias("diagonal"))
+    hits = hits.select("row", "id", "template", "bit", "length", "label", "base", (F.col("pos") - 1).alias("pos"), F.when(F.col("template") < 0, F.col("n")).otherwise(F.col("pos") - 1 - F.col("at")).alias("diagonal"))
     keys = ["row", "id", "template", "length", "label", "base", "diagonal"]
     return hits.repartition("row").groupBy(*keys).agg(F.bit_or("bit").alias("mask"), F.min("pos").alias("first"), F.max("pos").alias("last"))
 
