@@ -128,7 +128,7 @@ _INV = np.ones(1, np.uint64)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd multiplier modulo 2**64, and of its inverse; those of a window or so are kept."""
+    """Powers of an odd multiplier modulo 2**64, and of its inverse, for rolling sums that are checked by bytes or name a bucket; those of a window or so are kept."""
     global _POW, _INV
     if len(_POW) >= n:
         return _POW, _INV
@@ -156,15 +156,29 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def _raw_hashes(buf: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and polynomial of each word of lower-cased bytes: the sum of (byte + 1) * multiplier ** place in the word."""
+#: Added to a byte and its place before they are mixed.
+_BYTE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _raw_hashes(buf: np.ndarray, separator: np.ndarray, ahead: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and sum of each word of lower-cased bytes: every byte is mixed with its place in the word before they are summed, so that no pattern
+    of places cancels out as in a polynomial. ``ahead``: bytes that a word at the very beginning has had before."""
     gap = separator[buf]
     edge = np.flatnonzero(np.diff(gap.view(np.int8), prepend=1, append=1))
     start, end = edge[0::2], edge[1::2]
-    pw, inv = _powers(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * pw[: len(buf)], out=total[1:])
-    return start, end, (total[end] - total[start]) * inv[start]
+    if not len(start):
+        return start, end, np.empty(0, np.uint64)
+    size = end - start
+    first = np.cumsum(size) - size  # of each word among the bytes of all words
+    place = np.arange(int(size.sum()), dtype=np.int64)
+    place -= np.repeat(first, size)
+    if ahead and start[0] == 0:
+        place[: size[0]] += ahead
+    code = place.view(np.uint64)
+    code <<= np.uint64(8)
+    code += buf[~gap]
+    code += _BYTE
+    return start, end, np.add.reduceat(mix64(code), first)
 
 
 def word_hashes(texts: list[bytes], separator: np.ndarray = SPACE, window: int = CHUNK_BYTES) -> tuple[np.ndarray, np.ndarray]:
@@ -183,27 +197,27 @@ def word_hashes(texts: list[bytes], separator: np.ndarray = SPACE, window: int =
 
 
 def _long_hashes(text: bytes, separator: np.ndarray, window: int) -> np.ndarray:
-    """The polynomials of the words of one text."""
+    """The sums of the words of one text."""
     out: list[np.ndarray] = []
-    open_, length = 0, 0  # polynomial and length of the word that reaches the end of the window before
+    open_, length = np.zeros(1, np.uint64), 0  # sum and length of the word that reaches the end of the window before
     for at in range(0, len(text), window):
         buf = LOWER[np.frombuffer(text, np.uint8, min(window, len(text) - at), at)]
-        start, end, h = _raw_hashes(buf, separator)
+        start, end, h = _raw_hashes(buf, separator, length)
         if length:
             if len(start) and start[0] == 0:
-                h[0] = np.uint64((open_ + int(h[0]) * pow(_MULT, length, 1 << 64)) & (2**64 - 1))
+                h[:1] += open_
             else:
-                out.append(np.array([open_], np.uint64))
+                out.append(open_)
                 length = 0
         if len(end) and end[-1] == len(buf):
             whole = len(end) == 1 and start[0] == 0
-            open_, length = int(h[-1]), (length if whole else 0) + int(end[-1] - start[-1])
+            open_, length = h[-1:], (length if whole else 0) + int(end[-1] - start[-1])
             h = h[:-1]
         else:
             length = 0
         out.append(h)
     if length:
-        out.append(np.array([open_], np.uint64))
+        out.append(open_)
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 

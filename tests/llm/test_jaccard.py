@@ -111,3 +111,24 @@ def test_a_pair_at_the_threshold_shares_a_key(percent):
             both = len(np.intersect1d(base, other))
             if both and 100 * both >= percent * (len(base) + len(other) - both):
                 assert set(bands.keys(base)) & set(bands.keys(other))
+
+
+def thue_morse(n):
+    """Words on which polynomials modulo a power of two agree: a word of 0 and 1 by the parity of its place's bits, and its complement."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_patterned_words_do_not_collide(spark):
+    from tessel.llm.common import word_hashes
+
+    for n in (256, 1024, 4096, 65536):
+        x, y = (w.encode() for w in thue_morse(n))
+        assert len(set(word_hashes([x, y, x + b" " + y])[0].tolist())) == 2
+        assert len(set(word_hashes([x, y], window=100)[0].tolist())) == 2
+    rows = [(i, t) for n in (1024, 4096) for i, t in enumerate(thue_morse(n), n)]
+    rows = [(i, f"{t} {t[::-1]} {t[1:]} {t[2:]}") for i, t in rows]
+    rows += [(9999, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.link_documents(df, 3, 90).collect()} == {i: i for i, _ in rows} | {9999: 1024}
+    assert sorted(r.doc_id for r in jaccard.keep_one(df, 5, 80).collect()) == sorted(i for i, _ in rows if i != 9999)
