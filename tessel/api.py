@@ -8,12 +8,14 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import wraps
-from threading import Lock, get_ident
+from threading import Event, Lock, Thread, get_ident
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.operators import cache, cuts, groups, knn, linkage, naming, ordering, pairs, renames
+from tessel.operators.history import GroupLog
 from tessel.sources.stored import Store
 
 
@@ -62,8 +64,12 @@ class Workspace:
     fallback: str = "clip"
     job: str = "tessel"
     listeners: list[Callable[[str], None]] = field(default_factory=list)
+    edits: GroupLog | None = None
+    every: float = 0.5
     _lock: Lock = field(default_factory=Lock)
     _owner: int | None = None
+    _group: str | None = None
+    _cancelled: bool = False
 
     @contextmanager
     def _guard(self, name: str) -> Iterator[None]:
@@ -74,20 +80,50 @@ class Workspace:
         if not self._lock.acquire(blocking=False):
             raise Busy(name)
         sc = self.spark.sparkContext
-        self._owner = get_ident()
+        self._owner, self._group, self._cancelled = get_ident(), f"{self.job}-{uuid4().hex[:8]}", False
+        over = Event()
+        watcher = Thread(target=self._watch, args=(name, over), daemon=True)
         try:
-            sc.setJobGroup(self.job, name, interruptOnCancel=True)
+            sc.setJobGroup(self._group, name, interruptOnCancel=True)
             self._tell(f"{name}: started")
+            watcher.start()
             yield
+            self._stop(over, watcher)
             self._tell(f"{name}: done")
         except BaseException:
-            self._tell(f"{name}: failed")
+            self._stop(over, watcher)
+            self._tell(f"{name}: cancelled" if self._cancelled else f"{name}: failed")
             raise
         finally:
             sc._jsc.clearJobGroup()
-            self._owner = None
+            self._owner = self._group = None
             self._lock.release()
 
+    def _stop(self, over: Event, watcher: Thread) -> None:
+        over.set()
+        if watcher.is_alive():
+            watcher.join()
+
+    def _watch(self, name: str, over: Event) -> None:
+        """Tells the share of the job's tasks that are over whenever it has grown or a new Spark job has begun."""
+        last: tuple[int, float] | None = None
+        while not over.wait(self.every):
+            now = self.progress()
+            if now is not None and now != last:
+                self._tell(f"{name}: job {now[0]}, {now[1]:.0%}")
+                last = now
+
+    def progress(self) -> tuple[int, float] | None:
+        """(Spark jobs begun, share of the last one's tasks that are over) of the running job; None when nothing runs."""
+        group, tracker = self._group, self.spark.sparkContext.statusTracker()
+        jobs = sorted(tracker.getJobIdsForGroup(group)) if group else []
+        if not jobs:
+            return None
+        info = tracker.getJobInfo(jobs[-1])
+        stages = [x for s in (info.stageIds if info else []) if (x := tracker.getStageInfo(s)) is not None]
+        total = sum(x.numTasks for x in stages)
+        return len(jobs), sum(x.numCompletedTasks for x in stages) / total if total else 0.0
+
     def run(self, plan: DataFrame | Callable[[], DataFrame], sink: Callable[[DataFrame], object] = lambda df: df.toPandas(), name: str = "run") -> object:
         """Executes a plan (or what a call makes) as a job: while it runs another one is Busy and cancel() ends it. ``sink`` takes the rows, by default to pandas."""
         with self._guard(name):
@@ -98,7 +134,9 @@ class Workspace:
             listener(what)
 
     def cancel(self) -> None:
-        self.spark.sparkContext.cancelJobGroup(self.job)
+        if group := self._group:
+            self._cancelled = True
+            self.spark.sparkContext.cancelJobGroup(group)
 
     def running(self) -> bool:
         return self._lock.locked()
@@ -234,6 +272,26 @@ class Workspace:
         plan = renames.delete_split(names, self.images)
         return plan, groups.prune_deleted(self.members, plan.where("outcome = 'deleted'"))
 
+    def edit(self, action: str, change: Callable[[DataFrame], DataFrame]) -> int:
+        """Changes the groups by one of the operators in ``groups``, as a new version of the log."""
+        if self.edits is None:
+            raise LookupError("no log of edits")
+        if self.edits.version() < 0:
+            self.edits.commit(self.members, "start")
+        version = self.edits.commit(change(self._logged()), action)
+        self.members = self._logged()
+        return version
+
+    def undo_edit(self) -> int | None:
+        """Takes back the last edit of the groups that isn't taken back yet, at most ten."""
+        version = self.edits.undo() if self.edits else None
+        if version is not None:
+            self.members = self._logged()
+        return version
+
+    def _logged(self) -> DataFrame:
+        return self.edits.as_of().join(self.images.select("filename", "image_id"), "filename", "left")
+
     def undo(self, mapping: DataFrame) -> DataFrame:
         return renames.undo_plan(mapping)
 

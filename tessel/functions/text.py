@@ -119,6 +119,10 @@ def weak_etag(inode: Column, size: Column) -> Column:
     return F.concat(F.lit('W/"'), inode.cast("string"), F.lit("-"), size.cast("string"), F.lit('"'))
 
 
+def thumbnail_key(inode: Column, size: Column) -> Column:
+    return F.concat(inode.cast("string"), F.lit("-"), size.cast("string"), F.lit(".webp"))
+
+
 def contains_text(text: Column, query: str) -> Column:
     """Case-insensitive; a blank query finds nothing, and the query isn't trimmed."""
     return F.lower(text).contains(query.lower()) if query.strip() else F.lit(False)

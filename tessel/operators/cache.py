@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessel.functions import text
 from tessel.functions import vectors as V
 
 
@@ -82,3 +83,9 @@ def pooled_patches(tokens: DataFrame, grid: int, skip: int = 5) -> DataFrame:
 
     rows = tokens.withColumn("__p", patch)
     return rows.select("hash", F.transform("__p", lambda p: V.unit(p)).alias("full"), F.transform(F.sequence(F.lit(0), F.lit(half * half - 1)), mean).alias("pooled"))
+
+
+def orphan_thumbnails(files: DataFrame, cached: DataFrame) -> DataFrame:
+    """(name) of cached thumbnails (name) that belong to no file (inode, size) as it is now; what isn't a thumbnail isn't touched."""
+    keys = files.select(text.thumbnail_key(F.col("inode"), F.col("size")).alias("name"))
+    return cached.select("name").where(F.col("name").endswith(".webp")).join(keys, "name", "left_anti")

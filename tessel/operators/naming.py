@@ -2,38 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.functions import vectors as V
+from tessel.operators.moments import means, products, second_moments
 
 #: How many tags a cluster has, how many terms its name has.
 TAGS, NAME_TERMS = 8, 3
 
 
 def term_stats(items: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term_pos, term, mean, std): over all items, population deviation. The vocabulary is a list of bounded size and is broadcast."""
-    t = F.broadcast(terms.select("term_pos", "term", F.col("vec").alias("tvec")))
-    rows = items.select("vec").join(t).select("term_pos", "term", V.dot(F.col("vec"), F.col("tvec")).alias("x"))
-    got = rows.groupBy("term_pos", "term").agg(F.avg("x").alias("mean"), F.avg(F.col("x") * F.col("x")).alias("square"))
-    return got.select("term_pos", "term", "mean", F.sqrt(F.greatest(F.lit(0.0), F.col("square") - F.col("mean") * F.col("mean"))).alias("std"))
+    """(term_pos, term, mean, std): over all items, population deviation. From the items' moments: mean t·m, mean square tᵀMt, so no item meets a term."""
+    n, total, second = second_moments(items)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf) and n:
+                t = np.stack(pdf.vec).astype(np.float64)
+                mean = t @ (total / n)
+                square = ((t @ (second / n)) * t).sum(axis=1)
+                yield pd.DataFrame({"term_pos": pdf.term_pos, "term": pdf.term, "mean": mean, "std": np.sqrt(np.maximum(0.0, square - mean * mean))})
+
+    return terms.select("term_pos", "term", "vec").mapInPandas(run, f"term_pos {terms.schema['term_pos'].dataType.simpleString()}, term string, mean double, std double")
 
 
 def cluster_centroids(clusters: DataFrame, items: DataFrame) -> DataFrame:
     """(cluster_id, centroid): the mean of the members' vectors at norm 1; members without vectors don't count."""
-    rows = clusters.join(items.select("image_id", "vec"), "image_id").select("cluster_id", F.posexplode("vec").alias("d", "x"))
-    rows = rows.groupBy("cluster_id", "d").agg(F.avg("x").alias("x"))
-    vec = rows.groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("v")).select("cluster_id", F.transform("v", lambda p: p["x"]).alias("v"))
-    n = V.norm(F.col("v"))
-    return vec.select("cluster_id", F.when(n > V.LEAST_NORM, F.transform("v", lambda x: x / n)).otherwise(F.col("v")).alias("centroid"))
+    got = means(clusters.join(items.select("image_id", "vec"), "image_id"), "cluster_id")
+    n = V.norm(F.col("mean"))
+    return got.select("cluster_id", F.when(n > V.LEAST_NORM, F.transform("mean", lambda x: x / n)).otherwise(F.col("mean")).alias("centroid"))
+
 
+def z_scores(clusters: DataFrame, items: DataFrame, terms: DataFrame, keep: int | None = None) -> DataFrame:
+    """(cluster_id, term_pos, term, z); statistics are always those of all items. ``keep``: of each cluster only candidates among which its best are.
 
-def z_scores(clusters: DataFrame, items: DataFrame, terms: DataFrame) -> DataFrame:
-    """(cluster_id, term_pos, term, z); statistics are always those of all items."""
-    t = terms.select("term_pos", F.col("vec").alias("tvec")).join(term_stats(items, terms), "term_pos")
-    z = F.when(F.col("std") > V.LEAST_NORM, (V.dot(F.col("centroid"), F.col("tvec")) - F.col("mean")) / F.col("std")).otherwise(0.0)
-    return cluster_centroids(clusters, items).join(F.broadcast(t)).select("cluster_id", "term_pos", "term", z.alias("z"))
+    A term's vector is scaled by its deviation and carries its mean as one more component, so that z is an inner product."""
+    stats = terms.select("term_pos", "vec").join(term_stats(items, terms), "term_pos")
+    scaled = F.when(F.col("std") > V.LEAST_NORM, F.concat(F.transform("vec", lambda x: x / F.col("std")), F.array(-F.col("mean") / F.col("std")))).otherwise(F.transform(F.concat("vec", F.array(F.lit(0.0))), lambda x: F.lit(0.0)))
+    left = cluster_centroids(clusters, items).select(F.col("cluster_id").alias("id"), F.concat("centroid", F.array(F.lit(1.0))).alias("vec"))
+    got = products(left, stats.select(F.col("term_pos").alias("id"), scaled.alias("vec")), keep)
+    return got.select(F.col("a_id").alias("cluster_id"), F.col("b_id").alias("term_pos"), F.col("x").alias("z")).join(terms.select("term_pos", "term"), "term_pos").select("cluster_id", "term_pos", "term", "z")
 
 
 def _ranked(scores: DataFrame) -> DataFrame:
@@ -41,7 +54,7 @@ def _ranked(scores: DataFrame) -> DataFrame:
 
 
 def cluster_tags(clusters: DataFrame, items: DataFrame, terms: DataFrame, most: int = TAGS) -> DataFrame:
-    return _ranked(z_scores(clusters, items, terms)).where(F.col("rank") <= most).select("cluster_id", "rank", "term", "z")
+    return _ranked(z_scores(clusters, items, terms, most)).where(F.col("rank") <= most).select("cluster_id", "rank", "term", "z")
 
 
 def distinct_terms(ranked: list[str], most: int = NAME_TERMS) -> list[str]:

@@ -7,19 +7,9 @@ from pyspark.sql import functions as F
 from tessel.functions import text
 from tessel.operators import cache, groups, knn, ordering, renames, search
 from tessel.plans import fixtures as X
+from tessel.plans.registry import registry
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLES, query = registry()
 
 
 IM = X.with_(X.IMAGES)

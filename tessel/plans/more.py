@@ -8,20 +8,10 @@ from tessel.functions import text
 from tessel.operators import diagnostics, groups, ordering, pairs, renames, search
 from tessel.plans import fixtures as X
 from tessel.plans.lists import GM, IM, _every, _images, _members, _name, _plain_clusters
+from tessel.plans.registry import registry
 from tessel.plans.similarity import _GROUPS, _MEMBER_PAIRS, _member_vectors
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLES, query = registry()
 
 
 _POS = "CAST(row_number() OVER (ORDER BY {}) - 1 AS BIGINT) AS pos"

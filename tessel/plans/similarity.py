@@ -8,19 +8,9 @@ from pyspark.sql import functions as F
 from tessel.functions import vectors as V
 from tessel.operators import diagnostics, knn, naming, pairs
 from tessel.plans import fixtures as X
+from tessel.plans.registry import registry
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLES, query = registry()
 
 
 def _d(name: str = "distance", places: int = 6):

@@ -1,22 +1,21 @@
-"""Files as tables: contents and their hashes, numpy arrays, group lists, linkage and distance files, vocabularies.
+"""Files as tables: contents and their hashes, group lists, vocabularies. Array, linkage and distance files are in arrays.
 
-Everything is read by Spark (binaryFile, json, text), so any store that Spark reads will do."""
+Listings, lists and vocabularies are read by Spark (binaryFile, json, text), so any store that Spark reads will do; only the beginnings of files
+are read through pyarrow's file systems, since Spark reads files whole."""
 
 from __future__ import annotations
 
 import hashlib
-import io
 import json
 import struct
-import zipfile
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.functions import text
+from tessel.sources.arrays import opened
 
 #: Bytes of a file that its hash covers, and the hash's size.
 HASHED_BYTES, HASH_SIZE = 16384, 16
@@ -29,6 +28,23 @@ def contents(spark: SparkSession, folder: str, extensions: list[str] | None = No
     return rows.where(text.is_image(F.col("filename"), extensions))
 
 
+def heads(spark: SparkSession, folder: str, extensions: list[str] | None = None) -> DataFrame:
+    """(filename, length, content) of a folder's images with only the bytes that a hash covers: Spark lists the folder, tasks read the beginnings."""
+    rows = spark.read.format("binaryFile").load(folder).select("path", text.base_name(F.col("path")).alias("filename"), "length")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = []
+            for path in pdf.path:
+                store, name = opened(path)
+                with store.open_input_stream(name) as f:
+                    got.append(f.read(HASHED_BYTES))
+            yield pdf[["filename", "length"]].assign(content=got)
+
+    listed = rows.where(text.is_image(F.col("filename"), extensions)).repartition(spark.sparkContext.defaultParallelism)
+    return listed.mapInPandas(run, "filename string, length long, content binary")
+
+
 def content_hash(head: bytes, length: int) -> str:
     return hashlib.blake2b(head[:HASHED_BYTES], digest_size=HASH_SIZE, key=struct.pack(">Q", length)).hexdigest()
 
@@ -43,45 +59,6 @@ def content_hashes(files: DataFrame) -> DataFrame:
     return files.select("filename", digest(F.substring("content", 1, HASHED_BYTES), F.col("length")).alias("hash"))
 
 
-def npz_rows(files: DataFrame, model: str, key: str = "hashes") -> DataFrame:
-    """(hash, model, vec) of archives (content) that hold a list of hashes and an array for the model."""
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for raw in pdf.content:
-                with np.load(io.BytesIO(bytes(raw)), allow_pickle=False) as z:
-                    if model in z.files:
-                        yield pd.DataFrame({"hash": z[key].astype(str), "model": model, "vec": list(z[model].astype(np.float32))})
-
-    return files.select("content").mapInPandas(rows, "hash string, model string, vec array<float>")
-
-
-def npy_patches(files: DataFrame, hashes: list[str] | None = None) -> DataFrame:
-    """(row, patches) of three-dimensional arrays (content); with ``hashes`` (a file's row order) (hash, patches)."""
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for raw in pdf.content:
-                a = np.load(io.BytesIO(bytes(raw)), allow_pickle=False)
-                if a.ndim != 3 or a.dtype != np.float32:
-                    raise ValueError(f"expected three dimensions of float32, found {a.shape} {a.dtype}")
-                if hashes is not None and len(hashes) != len(a):
-                    raise ValueError(f"{len(hashes)} hashes for {len(a)} rows")
-                for i, x in enumerate(a):
-                    yield pd.DataFrame({"row" if hashes is None else "hash": [i if hashes is None else hashes[i]], "patches": [[list(map(float, p)) for p in x]]})
-
-    return files.select("content").mapInPandas(rows, ("row long" if hashes is None else "hash string") + ", patches array<array<float>>")
-
-
-def npy_strings(raw: bytes) -> list[str]:
-    return np.load(io.BytesIO(raw), allow_pickle=False).astype(str).tolist()
-
-
-def zip_names(raw: bytes) -> list[str]:
-    with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        return z.namelist()
-
-
 def parse_groups(raw: str, strict: bool = False) -> list[dict]:
     """A list of groups, bare or under 'groups'. What can't be read is no groups, or an error if ``strict``."""
     try:
@@ -119,33 +96,6 @@ def groups_json(members: DataFrame) -> DataFrame:
     return got.select("group_pos", F.to_json(F.struct(F.col("group_id").alias("id"), "name", F.transform("m", lambda x: x["filename"]).alias("images"))).alias("json")).orderBy("group_pos")
 
 
-def write_tree(steps: list[tuple[int, int, float, int]], images: int, pre: int, groups: int) -> bytes:
-    """A linkage file: four counts, then a, b, distance and size of each step, little-endian."""
-    return struct.pack("<4I", images, pre, groups, len(steps)) + b"".join(struct.pack("<IIfI", *s) for s in steps)
-
-
-def read_tree(raw: bytes) -> tuple[dict[str, int], list[tuple[int, int, float, int]]]:
-    images, pre, groups, n = struct.unpack_from("<4I", raw)
-    if len(raw) != 16 + 16 * n:
-        raise ValueError("the linkage file has another size than its header says")
-    return {"images": images, "pre": pre, "groups": groups}, [struct.unpack_from("<IIfI", raw, 16 + 16 * i) for i in range(n)]
-
-
-def write_distances(d: np.ndarray) -> bytes:
-    """A distance file: the number of items, then the upper triangle row by row."""
-    return struct.pack("<Q", len(d)) + d[np.triu_indices(len(d), 1)].astype("<f8").tobytes()
-
-
-def read_distances(raw: bytes) -> pd.DataFrame:
-    """(i, j, d)."""
-    (n,) = struct.unpack_from("<Q", raw)
-    d = np.frombuffer(raw, "<f8", offset=8)
-    if len(d) != n * (n - 1) // 2:
-        raise ValueError("the distance file has another size than its header says")
-    i, j = np.triu_indices(n, 1)
-    return pd.DataFrame({"i": i, "j": j, "d": d})
-
-
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """(term_pos, term, vec) of a JSON file with terms and embeddings; an empty one is an error."""
     raw = spark.read.schema("terms array<string>, embeddings array<array<float>>").json(path, multiLine=True)
