@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessel.operators import cuts, linkage
 
@@ -172,10 +173,12 @@ def test_orphans_take_the_label_they_meet_first():
     assert cuts._with_orphans(cuts._Tree.of(7, s), [0, 0, 1, 1, -1, -1, -1]) == [0, 0, 1, 1, 0, 1, 2]
 
 
-def test_too_many_items_are_an_error(spark):
-    items = spark.createDataFrame([("r", i, i, [float(i), 1.0], None) for i in range(5)], "run_id string, image_id long, idx int, vec array<double>, group_pos long")
+def test_given_distances_of_too_many_items_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "MOST", 3)
+    items = spark.createDataFrame([("r", i, None) for i in range(5)], "run_id string, idx int, group_pos long")
+    pairs = spark.createDataFrame([("r", i, j, 1.0) for i in range(5) for j in range(i + 1, 5)], "run_id string, i long, j long, d double")
     with pytest.raises(Exception, match="at most 3"):
-        linkage.linkages(items, most=3).collect()
+        linkage.linkages_of_pairs(items, pairs).collect()
 
 
 def test_zero_vectors_are_at_distance_one():
@@ -206,3 +209,57 @@ def test_a_job_guards_its_execution(spark):
         return spark.range(3)
 
     assert len(w.run(make)) == 3 and not w.running() and told == ["run: started", "run: done"]
+
+
+def _runs(spark, runs):
+    rows = [(name, i, v.tolist(), g.get(i)) for name, x, g in runs for i, v in enumerate(x)]
+    return spark.createDataFrame(rows, "run_id string, idx int, vec array<double>, group_pos long")
+
+
+def _equal(small, large):
+    """The same steps where distances tell them apart: merges at 0 and those that are kept apart may come in another order."""
+    both = [[(r.run_id, r.phase, r.a, r.b, r.new_size, round(r.distance, 5)) for r in df.orderBy("run_id", "step").collect() if r.phase == 0 or 0 < r.distance < 1e10] for df in (small, large)]
+    assert both[0] == both[1]
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_rounds_of_reciprocal_neighbours_give_the_same_steps(spark, block):
+    rng = np.random.default_rng(block)
+    x = rng.normal(size=(90, 6))
+    x[1] = 0
+    groups = {i: int(i % 4) for i in range(0, 40, 5)}
+    for i, g in groups.items():  # members are near each other, so no distance is stopped at 0
+        x[i] = np.eye(6)[g] + 0.1 * x[i]
+    runs = [("grouped", x, groups), ("plain", rng.normal(size=(50, 6)), {3: 1}), ("one", x[:1], {})]
+    df = _runs(spark, runs)
+    small, large = linkage.linkages(df), linkage.linkages(df, most=20, block=block)
+    _equal(small, large)
+    for name, x_, _ in runs:
+        s = large.where(f"run_id = '{name}'").toPandas().sort_values("step")
+        assert s.step.tolist() == list(range(len(x_) - 1)) and len(set(s.a)) == len(s) and s.distance[s.phase == 1].is_monotonic_increasing
+
+
+def test_large_clusters_are_spread_over_blocks(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(1, 5)) + rng.normal(size=(60, 5)) * 0.01, rng.normal(size=(40, 5))])
+    df = _runs(spark, [("hot", x, {})])
+    _equal(linkage.linkages(df), linkage.linkages(df, most=4, block=16))
+
+
+def test_rounds_over_patches(spark):
+    rng = np.random.default_rng(7)
+    p = rng.normal(size=(45, 3, 4))
+    p /= np.linalg.norm(p, axis=2, keepdims=True)
+    df = spark.createDataFrame([("p", i, v.tolist(), 1 if i in (2, 9) else None) for i, v in enumerate(p)], "run_id string, idx int, patches array<array<double>>, group_pos long")
+    _equal(linkage.linkages(df), linkage.linkages(df, most=10, block=16))
+    from tessel.operators import pairs
+
+    d = pairs.patch_pairs(df.select(F.col("idx").cast("long").alias("image_id"), "patches"))
+    given = linkage.linkages_of_pairs(df.select("run_id", "idx", "group_pos"), d.select(F.lit("p").alias("run_id"), "i", "j", "d"))
+    _equal(given, linkage.linkages(df))
+
+
+def test_more_groups_than_fit_a_task_are_kept_apart(spark):
+    x = np.random.default_rng(8).normal(size=(24, 5))
+    s = linkage.linkages(_runs(spark, [("g", x, {i: i // 2 for i in range(24)})]), most=8).toPandas().sort_values("step")
+    assert (s.phase == 0).sum() == 12 and (s.distance >= 1e10).sum() == 11 and s.new_size.iloc[-1] == 24 and len(set(s.a)) == 23

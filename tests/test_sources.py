@@ -1,6 +1,5 @@
 """Readers, stored results, the stream and the calls of the façade."""
 
-import io
 import json
 
 import numpy as np
@@ -24,19 +23,6 @@ def test_content_hashes_cover_the_beginning_and_the_length(spark, tmp_path):
     assert set(got) == {"a.jpg", "b.jpg", "c.PNG"} and got["a.jpg"] == got["c.PNG"] != got["b.jpg"] and len(got["a.jpg"]) == 32
 
 
-def test_arrays_are_read(spark, tmp_path):
-    a = np.arange(6, dtype=np.float32).reshape(2, 3)
-    np.savez_compressed(tmp_path / "c.npz", hashes=np.array(["h1", "h2"]), clip=a)
-    np.save(tmp_path / "p.npy", np.ones((2, 4, 3), np.float32))
-    raw = spark.read.format("binaryFile").load(str(tmp_path / "c.npz"))
-    assert sorted((r.hash, r.vec) for r in files.npz_rows(raw, "clip").collect()) == [("h1", [0, 1, 2]), ("h2", [3, 4, 5])]
-    patches = files.npy_patches(spark.read.format("binaryFile").load(str(tmp_path / "p.npy")), ["x", "y"]).collect()
-    assert {r.hash for r in patches} == {"x", "y"} and len(patches[0].patches) == 4
-    buf = io.BytesIO()
-    np.save(buf, np.array(["é", "long name"]))
-    assert files.npy_strings(buf.getvalue()) == ["é", "long name"]
-
-
 def test_groups_of_either_form_and_of_none(spark, tmp_path):
     g = [{"id": "1", "name": "n", "images": ["a", "b"]}, {"id": "2", "name": "m", "images": []}]
     for i, raw in enumerate((json.dumps(g), json.dumps({"groups": g}), "not json", '{"x": 1}')):
@@ -49,16 +35,6 @@ def test_groups_of_either_form_and_of_none(spark, tmp_path):
     assert back == g[:1]
 
 
-def test_binary_files_are_an_exact_round_trip():
-    steps = [(0, 1, 0.5, 2), (1, 2, 1.5, 3)]
-    assert files.read_tree(files.write_tree(steps, 3, 1, 1)) == ({"images": 3, "pre": 1, "groups": 1}, steps)
-    d = np.array([[0, 1.5, 2], [1.5, 0, 3], [2, 3, 0]])
-    assert files.read_distances(files.write_distances(d)).values.tolist() == [[0, 1, 1.5], [0, 2, 2], [1, 2, 3]]
-    for read, raw in ((files.read_tree, files.write_tree(steps, 3, 1, 1)[:-1]), (files.read_distances, files.write_distances(d)[:-8])):
-        with pytest.raises(ValueError):
-            read(raw)
-
-
 def test_vocabulary(spark, tmp_path):
     (tmp_path / "t.json").write_text(json.dumps({"terms": ["a", "b"], "embeddings": [[1, 0], [0, 1]]}))
     assert [(r.term_pos, r.term, r.vec) for r in files.vocabulary(spark, str(tmp_path / "t.json")).collect()] == [(0, "a", [1, 0]), (1, "b", [0, 1])]
