@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 BLOCK = 4096
 
 
-def second_moments(items: DataFrame, vec: str = "vec", fan: int = 64) -> tuple[int, np.ndarray, np.ndarray]:
+def second_moments(items: DataFrame, vec: str = "vec") -> tuple[int, np.ndarray, np.ndarray]:
     """(n, Σx, Σxxᵀ) of a column of vectors of one dimension d; d² numbers come to the driver, whatever the table. Null vectors don't count."""
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -38,6 +38,7 @@ def second_moments(items: DataFrame, vec: str = "vec", fan: int = 64) -> tuple[i
             yield pd.DataFrame({"n": [n], "s": [s], "m": [m]})
 
     sums = items.select(vec).where(F.col(vec).isNotNull()).mapInPandas(part, "n long, s array<double>, m array<double>")
+    fan = min(64, items.sparkSession.sparkContext.defaultParallelism)
     row = sums.repartition(fan).mapInPandas(add, sums.schema).coalesce(1).mapInPandas(add, sums.schema).first()
     if row is None:
         return 0, np.zeros(0), np.zeros((0, 0))
@@ -66,10 +67,10 @@ def means(rows: DataFrame, key: str, vec: str = "vec") -> DataFrame:
     return sums.groupBy("k").applyInPandas(add, f"k {kind}, mean array<double>, n long").withColumnRenamed("k", key)
 
 
-def products(a: DataFrame, b: DataFrame, keep: int | None = None, block: int = BLOCK) -> DataFrame:
+def products(a: DataFrame, b: DataFrame, keep: int | None = None, block: int = BLOCK, rows: tuple[int, int] | None = None) -> DataFrame:
     """(a_id, b_id, x): inner products of all vectors of a (id, vec) and b (id, vec), or of each of a the ``keep`` largest within a block of b (ties to
-    smaller ids), among which its largest are. Both sides are dealt in blocks of about ``block``, so neither is broadcast."""
-    na, nb = (-(-df.count() // block) or 1 for df in (a, b))
+    smaller ids), among which its largest are. Both sides are dealt in blocks of about ``block``, so neither is broadcast. ``rows``: their sizes, if known."""
+    na, nb = (-(-n // block) or 1 for n in (rows or (a.count(), b.count())))
     kinds = [df.schema["id"].dataType.simpleString() for df in (a, b)]
 
     def dealt(df: DataFrame, own: int, other: int, names: tuple[str, str]) -> DataFrame:

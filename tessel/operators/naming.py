@@ -45,7 +45,7 @@ def z_scores(clusters: DataFrame, items: DataFrame, terms: DataFrame, keep: int
     stats = terms.select("term_pos", "vec").join(term_stats(items, terms), "term_pos")
     scaled = F.when(F.col("std") > V.LEAST_NORM, F.concat(F.transform("vec", lambda x: x / F.col("std")), F.array(-F.col("mean") / F.col("std")))).otherwise(F.transform(F.concat("vec", F.array(F.lit(0.0))), lambda x: F.lit(0.0)))
     left = cluster_centroids(clusters, items).select(F.col("cluster_id").alias("id"), F.concat("centroid", F.array(F.lit(1.0))).alias("vec"))
-    got = products(left, stats.select(F.col("term_pos").alias("id"), scaled.alias("vec")), keep)
+    got = products(left, stats.select(F.col("term_pos").alias("id"), scaled.alias("vec")), keep, rows=(clusters.select("cluster_id").distinct().count(), terms.count()))
     return got.select(F.col("a_id").alias("cluster_id"), F.col("b_id").alias("term_pos"), F.col("x").alias("z")).join(terms.select("term_pos", "term"), "term_pos").select("cluster_id", "term_pos", "term", "z")
 
 
