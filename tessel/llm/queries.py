@@ -95,6 +95,11 @@ def _edit(path: str, letter: str, cost: str, adds: str = "''") -> str:
     return f"if({path} IS NULL, NULL, {{'k': lpad((left({path}.k, 6)::INT + {cost})::VARCHAR, 6, '0') || {path}.k[7:] || '{letter}', 't': {path}.t || {adds}}})"
 
 
+def _templates() -> str:
+    """The license templates as rows (template, phrase, label, base) of SQL."""
+    return ", ".join(f"({i}, '{' '.join(t.words)}', '{t.label}', {str(t.base).lower()})" for i, t in enumerate(licenses.known_templates()))
+
+
 #: Counting tokens, hashing ids and learned models can't be written in SQL; those queries are tested against the tokenizers library, exact round trips, brute force and held-out rows.
 ORACLES: dict[str, str] = {
     "op3_embedding_dedup": """WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings WHERE label IS NOT NULL),
@@ -102,6 +107,18 @@ ORACLES: dict[str, str] = {
     + _COMPONENTS
     + """, n AS (SELECT a, count(*) AS n FROM ways GROUP BY a)
 SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, coalesce(lo, e.vec_id)) AS component_id, e.vec_id = least(e.vec_id, coalesce(lo, e.vec_id)) AS kept FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN low ON low.i = e.vec_id""",
+    "op4_license_scan": r"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+  t AS (SELECT template, string_split(phrase, ' ') AS w, label, base FROM (VALUES """
+    + _templates()
+    + r""") t(template, phrase, label, base)),
+  tg AS (SELECT template, label, base, len(w) AS length, p, w[p + 1] AS a, w[p + 2] AS b FROM (SELECT *, unnest(range(len(w) - 1)) AS p FROM t)),
+  g AS (SELECT row, x[1] AS a, x[2] AS b, x[3] AS pos FROM (SELECT row, unnest(list_zip(w[1:len(w) - 1], w[2:len(w)], range(len(w) - 1))) AS x FROM d WHERE len(w) > 1)),
+  v AS (SELECT row, template, label, base, length, pos - p AS diagonal, bit_or(1::BIGINT << p) AS mask, min(pos) AS lo, max(pos) AS hi FROM g JOIN tg USING (a, b) GROUP BY ALL),
+  i AS (SELECT *, sum(new) OVER (PARTITION BY row, template ORDER BY diagonal) AS island FROM (SELECT *, if(NOT base AND diagonal - lag(diagonal) OVER (PARTITION BY row, template ORDER BY diagonal) <= 3, 0, 1) AS new FROM v)),
+  s AS (SELECT row, template, label, base, length, island, bit_count(bit_or(mask)) / (length - 1) AS covered, min(lo) AS lo, max(hi) AS hi FROM i GROUP BY row, template, label, base, length, island),
+  k AS (SELECT * FROM s WHERE covered >= if(base OR length < 12, 1.0, 0.8) AND (base OR hi - lo + 2 <= length * 1.25 + 3)),
+  n AS (SELECT row, count(*) FILTER (base) AS n_base, min(lo) FILTER (base) AS first_word, max(lo) FILTER (base) AS last_word, array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(covered) AS score FROM k GROUP BY row)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM d LEFT JOIN n USING (row)""",
     "op6_exact_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS t FROM embeddings),
   s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.t, c.t) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
 SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s) WHERE rank <= 20""",
