@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from tessel.plans import catalog
@@ -18,7 +19,7 @@ def duck(sf_dir):
 
 
 def plain(x):
-    if x is None or isinstance(x, float) and x != x:
+    if x is None or x is pd.NA or isinstance(x, float) and x != x:
         return None
     if isinstance(x, (list, tuple, np.ndarray)):
         return [plain(y) for y in x]
