@@ -13,7 +13,7 @@ from tessel.operators.positions import with_positions
 from tessel.plans import fixtures as X
 from tessel.plans.lists import GM, IM, _images, _members
 from tessel.plans.registry import registry
-from tessel.sources import arrays, files, shared
+from tessel.sources import arrays, files, log, shared
 
 QUERIES, ORACLES, query = registry()
 
@@ -296,3 +296,12 @@ def pending_of_groups(spark, d):
     m = _members(spark, d).where("member_pos < 3")
     other = m.select(F.col("group_id").alias("candidate"), (F.col("group_pos") - 1).alias("group_pos"), "member_pos")
     return groups.pending_total(m.join(other, ["group_pos", "member_pos"]).select(F.col("group_id").alias("ref"), "candidate").distinct())
+
+
+@query("SELECT '[' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z] [' || event_type || '] ' || CASE WHEN event_type = 'error' THEN 'ERROR ' ELSE '' END || 'user ' || user_id || CASE WHEN event_type = 'error' THEN ': ' || props ELSE '' END AS line FROM events ORDER BY ts DESC, event_id DESC LIMIT 50000")
+def log_lines(spark, d):
+    """Events as a log that was opened after all of them were written."""
+    e = X.read(spark, d, "events")
+    last = log.last_lines(e.select("ts", F.col("event_id").alias("seq"), "event_type", "props", F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("message")))
+    plain, failed = (log.line(F.col("ts"), F.col("event_type"), F.col("message"), x) for x in (None, F.col("props")))
+    return last.select(F.when(F.col("event_type") == "error", failed).otherwise(plain).alias("line"))

@@ -150,3 +150,18 @@ def test_workspace(spark, sf_dir, tmp_path):
     with w._lock, pytest.raises(Busy):
         w.cluster(10)
     assert seen[0] == "cluster: started"
+
+
+def test_a_log_keeps_its_last_lines(spark, tmp_path):
+    from tessel.sources.log import LogTable, line
+
+    table = LogTable(spark, str(tmp_path / "log"))
+    assert table.open() == 0
+    rows = spark.range(100).select((F.timestamp_seconds(F.col("id") % 7)).cast("timestamp_ntz").alias("ts"), F.col("id").alias("seq"), F.lit("t").alias("tag"), F.concat(F.lit("m"), "id").alias("message"))
+    table.append(rows.where("id < 50"))
+    table.append(rows.where("id >= 50"))
+    want = sorted((i % 7, i) for i in range(100))[-30:]
+    assert table.open(1000) == 100 and table.open(30) == 30
+    assert sorted((r.ts.second, r.seq) for r in table.lines().collect()) == want
+    got = rows.where("id = 8").select(line(F.col("ts"), F.col("tag"), F.col("message")).alias("a"), line(F.col("ts"), F.col("tag"), F.col("message"), F.lit("e")).alias("b")).first()
+    assert got.a == "[1970-01-01T00:00:01.000Z] [t] m8" and got.b == "[1970-01-01T00:00:01.000Z] [t] ERROR m8: e"
