@@ -329,7 +329,7 @@ def library_codec(path: str) -> Codec:
         out[plain], out[~plain] = flat, np.concatenate(got)
         return out, sizes
 
-    return Codec(lambda text: (m[0] for m in UNSPACED.finditer(text)), UNSPACED.findall, encode)
+    return Codec(lambda text: (m[0] for m in UNSPACED.finditer(text)), UNSPACED.findall, encode, most=350_000, most_text=6_000_000)
 
 
 def release() -> None:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import library_codec
-from .common import Scratch, shuffle_partitions, text_slices
+from .common import Scratch, shuffle_partitions, text_slices, trimmed
 
 
 def binary_pieces(n: int, width: int) -> list[tuple[int, int]]:
@@ -68,7 +68,7 @@ def pack(docs: DataFrame, vocabulary: str, width: int = 4096, end_id: int = 2, w
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, ["id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 5 + with_ids])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(cut), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)
     more = ["ids"] * with_ids
     out = out.select(F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.col("length").alias("bucket"), *more)
     return by_bucket(Scratch(docs.sparkSession, "packing").save(out, "pieces"))
