@@ -11,7 +11,7 @@ row is placed, none is dropped or repeated. The schedule is one sequential chain
 Ranks within a source come from one range-partitioned sort by (source, hash), which spreads a source of any size over
 tasks, plus the counts of each partition's share; nothing is collected. Every source is scheduled by itself, however
 many there are: one task holds a row for each source and writes the schedule, a row for each block, as a table. The
-counts are broadcast for up to ``max_sources`` sources or so, the schedule up to BROADCAST_BLOCKS; beyond, both are joined
+counts are broadcast for up to ``broadcast_sources`` sources or so, the schedule up to BROADCAST_BLOCKS; beyond, both are joined
 by a shuffle.
 
 A null source is a source of its own. Null ids and repeated rows are rows like others. Weights of 0 or less, or missing
@@ -89,22 +89,6 @@ def whole_schedule(blocks: list[int], weights: list[float]) -> Iterator[tuple[in
             base += sum(blocks[i] for i in those)
 
 
-def pfair(q: list[int]) -> list[list[int]]:
-    """Slots of every source's blocks, where each source has as many blocks as its share of the slots."""
-    slots: list[list[int]] = [[] for _ in q]
-    for i, _, t, *_ in schedule(q, q):
-        slots[i].append(t)
-    return slots
-
-
-def phases(blocks: list[int], weights: list[float], resolution: int) -> list[tuple[int, int, int, int, int, int, list[int]]]:
-    """(source, first block, end block, first slot, share, period, slots in the period) of each source. The schedule is exact, so all slots are one period whatever the resolution."""
-    slots: list[list[int]] = [[] for _ in blocks]
-    for i, _, t, *_ in whole_schedule(blocks, weights):
-        slots[i].append(t)
-    return [(i, 0, n, 0, n, sum(blocks), slots[i]) for i, n in enumerate(blocks) if n]
-
-
 #: What mix_sources adds.
 ADDED = ["__block", "__release", "__deadline", "__slot", "__position"]
 
@@ -128,7 +112,7 @@ def mixed_order(docs: DataFrame, *args, **options) -> DataFrame:
     return got.repartitionByRange(n, "__position").sortWithinPartitions("__position").select(*back)
 
 
-def _mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, block_rows: int = 64, resolution: int = 1000, max_sources: int = 200, seed: int = 1, id_col: str = "doc_id", source_col: str = "source") -> tuple[DataFrame, list[Column]]:
+def _mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, block_rows: int = 64, broadcast_sources: int = 200, seed: int = 1, id_col: str = "doc_id", source_col: str = "source") -> tuple[DataFrame, list[Column]]:
     """The numbered columns and the added ones, and the columns that give the former their names back."""
     spark, labels = docs.sparkSession, docs.columns
     id_col, source_col = (f"c{labels.index(c)}" for c in (id_col, source_col))
@@ -155,7 +139,7 @@ def _mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, powe
             yield pa.RecordBatch.from_arrays([names, *(pa.array(c, pa.int64()) for c in columns[1:])], [c for c, _ in fields])
 
     table = store.save(sources.coalesce(1).mapInArrow(plan, StructType([StructField(*f) for f in fields])), "schedule")
-    few = parts.limit(max_sources * n + 1).count() <= max_sources * n
+    few = parts.limit(broadcast_sources * n + 1).count() <= broadcast_sources * n
     small = table.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS
     start, table = F.broadcast(start) if few else start.hint("merge"), F.broadcast(table) if small else table.hint("merge")
     got = ordered.join(start, F.col("__class").eqNullSafe(F.col("__c")) & (F.col("__part") == F.col("__p"))).drop("__c", "__p")
@@ -165,14 +149,8 @@ def _mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, powe
     return got.select(*docs.columns, *ADDED), back
 
 
-def in_order(mixed: DataFrame) -> DataFrame:
-    """The rows of mix_sources in their mixed order, without its columns."""
-    n = shuffle_partitions(mixed.sparkSession)
-    return mixed.repartitionByRange(n, "__position").sortWithinPartitions("__position").drop(*ADDED)
-
-
 def in_written_order(docs: DataFrame) -> DataFrame:
-    """The rows of a table of Parquet files that was written from in_order, in that order again.
+    """The rows of a table of Parquet files that was written from mixed_order, in that order again.
 
     Spark reads files by falling size, so the order is taken from the numbers of the part files and the rows' places in them."""
     n = shuffle_partitions(docs.sparkSession)

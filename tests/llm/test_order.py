@@ -1,7 +1,9 @@
 """Source mixing, packing and training order: schedules, round trips and edge cases."""
 
+import math
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -20,22 +22,38 @@ def frame(spark, n=40):
     return spark.createDataFrame(rows, SCHEMA), rows
 
 
-def test_pfair_keeps_every_source_within_a_block():
-    for q in ([1], [1, 1], [500, 300, 200], [997, 1, 1, 1], [334, 333, 333], [7, 13, 80]):
-        slots, total = mixing.pfair(q), sum(q)
-        assert sorted(t for s in slots for t in s) == list(range(total))
-        for s, n in zip(slots, q):
-            got = np.searchsorted(s, np.arange(1, total + 1), side="left")
-            assert np.abs(got - n * np.arange(1, total + 1) / total).max() < 1
-
-
-def test_phases_place_every_block_once():
-    for blocks, weights in (([10, 3, 0, 700], [1, 5, 2, 1]), ([5], [0]), ([4, 4], [0, 1]), ([2500, 1], [3, 1])):
-        used = Counter()
-        for _, a, z, base, q, period, t in mixing.phases(blocks, weights, 100):
-            for b in range(a, z):
-                used[base + (b - a) // q * period + t[(b - a) % q]] += 1
-        assert set(used.values()) <= {1} and sum(used.values()) == sum(blocks)
+def plain_schedule(blocks, weights):
+    """The rule step by step in fractions: targets grow by the weights of those with something left; at each slot all released blocks are looked through."""
+    reached, target = [[Fraction(0)] for _ in blocks], [Fraction(0)] * len(blocks)
+    live, now = {i for i, n in enumerate(blocks) if n}, Fraction(0)
+    while live:
+        total = sum(weights[i] for i in live)
+        step = min((blocks[i] - target[i]) * total / weights[i] for i in live)
+        for i in live:
+            grown = target[i] + step * weights[i] / total
+            for k in range(len(reached[i]), int(grown) + 1):
+                reached[i].append(now + (k - target[i]) * total / weights[i])
+            target[i] = grown
+        now += step
+        live = {i for i in live if target[i] < blocks[i]}
+    done, out = [0] * len(blocks), []
+    for t in range(sum(blocks)):
+        open_ = [(math.ceil(reached[i][j + 1]), i, j) for i, j in enumerate(done) if j < blocks[i] and math.floor(reached[i][j]) <= t]
+        due, i, j = min(open_)
+        out.append((i, j, t, math.floor(reached[i][j]), due))
+        done[i] += 1
+    return out
+
+
+def test_schedule_equals_the_rule_step_by_step():
+    r = np.random.default_rng(6)
+    cases = [([1], [1]), ([500, 300, 200], [5, 3, 2]), ([97, 1, 1, 1], [97, 1, 1, 1]), ([10, 3, 0, 70], [1, 5, 2, 1]), ([4, 4], [1, 1])]
+    cases += [(r.integers(0, 40, k).tolist(), r.integers(1, 50, k).tolist()) for k in (1, 2, 3, 5, 9, 20) for _ in range(6)]
+    for blocks, weights in cases:
+        weights = [Fraction(w) for w in weights]
+        got = list(mixing.schedule(blocks, mixing.whole_weights([float(w) for w in weights])))
+        assert got == plain_schedule(blocks, weights)
+        assert all(release <= t < deadline for _, _, t, release, deadline in got)
 
 
 def test_sources_stay_within_a_block_of_exact_weights_to_the_end():
@@ -60,7 +78,7 @@ def test_sources_stay_within_a_block_of_exact_weights_to_the_end():
 
 def test_exact_weights_over_many_rows(spark):
     rows = spark.range(120_000).selectExpr("id AS doc_id", "if(id % 3 = 0, 's0', concat('s', id % 19 + 1)) AS source")
-    got = mixing.mix_sources(rows, block_rows=4, resolution=100).select("source", "__block", "__slot", "__release", "__deadline").distinct().toPandas()
+    got = mixing.mix_sources(rows, block_rows=4).select("source", "__block", "__slot", "__release", "__deadline").distinct().toPandas()
     n = rows.groupBy("source").count().toPandas().set_index("source")["count"]
     share = (n**0.5) / (n**0.5).sum()
     assert ((got["__slot"] >= got["__release"]) & (got["__slot"] < got["__deadline"])).all()
@@ -75,7 +93,7 @@ def test_mixing_places_every_row_within_a_block_of_its_target(spark):
     rows = [(i, "a" if i % 3 == 0 else "b" if i % 2 else None if i % 7 == 0 else "c", i) for i in range(5000)] + [(7, "b", 7)] * 3 + [(None, "a", 1)]
     df = spark.createDataFrame(rows, "doc_id long, source string, slot long")
     weights = {"a": 2.0, "b": 1.0, "c": 1.0, None: 0.5}
-    got = mixing.mix_sources(df, weights, block_rows=8, resolution=90).toPandas()
+    got = mixing.mix_sources(df, weights, block_rows=8).toPandas()
     assert len(got) == len(rows) and got["__position"].is_unique
     assert Counter(got.doc_id.fillna(-1)) == Counter(-1 if r[0] is None else r[0] for r in rows)
     assert ((got["__slot"] >= got["__release"]) & (got["__slot"] < got["__deadline"])).all()
@@ -87,13 +105,14 @@ def test_mixing_places_every_row_within_a_block_of_its_target(spark):
         mine = blocks[blocks.source.isna() if s is None else blocks.source == s]["__slot"].to_numpy()
         t = np.arange(1, ends + 1)
         assert np.abs(np.searchsorted(np.sort(mine), t) - w / total * t).max() < 1.01
-    again = mixing.in_order(mixing.mix_sources(df, weights, block_rows=8, resolution=90))
-    assert again.columns == df.columns and again.count() == len(rows)
+    again = mixing.mixed_order(df, weights, block_rows=8)
+    order = got.sort_values("__position")
+    assert again.columns == df.columns and [r.doc_id for r in again.collect()] == [None if np.isnan(x) else x for x in order.doc_id]
 
 
-def test_mixing_pools_small_sources(spark):
+def test_more_sources_than_are_broadcast(spark):
     rows = [(i, f"s{i % 40}" if i % 2 else "big") for i in range(800)]
-    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string"), block_rows=4, max_sources=5)
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string"), block_rows=4, broadcast_sources=5)
     assert got.count() == 800 and got.select("__position").distinct().count() == 800
 
 
@@ -113,7 +132,7 @@ def test_every_source_is_scheduled_by_itself(spark, monkeypatch):
             t = np.arange(1, int(least))
             assert np.abs(np.searchsorted(mine, t) - w[s] / sum(w.values()) * t).max() < 1 + 1e-6
     monkeypatch.setattr(mixing, "BROADCAST_BLOCKS", 10)
-    by_shuffle = mixing.mix_sources(df, weights, block_rows=2, max_sources=1).toPandas()
+    by_shuffle = mixing.mix_sources(df, weights, block_rows=2, broadcast_sources=1).toPandas()
     assert sorted(zip(by_shuffle.doc_id, by_shuffle["__position"])) == sorted(zip(got.doc_id, got["__position"]))
 
 
