@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.functions import text
+from tessel.operators.positions import with_positions
 
 
 def _dense(members: DataFrame) -> DataFrame:
@@ -119,20 +120,21 @@ def from_labels(labels: DataFrame, members: DataFrame | None = None, min_group_s
     else:
         rows = rows.withColumn("g", F.lit(None).cast("string"))
     got = rows.groupBy("label").agg(F.count("*").alias("size"), F.sort_array(F.collect_list(F.struct("pos", "filename"))).alias("m"), F.min_by("g", F.when(F.col("g").isNotNull(), F.col("pos"))).alias("confirmed_group"))
-    place = F.row_number().over(Window.orderBy(F.desc("size"), "label")) - 1
-    return got.select(place.cast("long").alias("cluster_id"), "label", "size", F.transform("m", lambda x: x["filename"]).alias("images"), "confirmed_group")
+    got = with_positions(got, -F.col("size"), "label", name="cluster_id")
+    return got.select("cluster_id", "label", "size", F.transform("m", lambda x: x["filename"]).alias("images"), "confirmed_group")
 
 
 def merge_clusters(clusters: DataFrame, ids: list) -> DataFrame:
     """clusters (cluster_id, pos, images, confirmed_group): the selected ones' images join the largest that has a confirmed group, or else the largest; sorted, each once. Fewer than two selected: nothing happens."""
     chosen = clusters.where(F.col("cluster_id").isin(*ids))
-    rank = F.row_number().over(Window.orderBy(F.col("confirmed_group").isNull(), F.desc(F.size("images")), "pos"))
-    target = chosen.withColumn("__r", rank).where("__r = 1").select(F.col("cluster_id").alias("__t"))
-    merged = chosen.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("images")))).alias("__images"), F.count("*").alias("__n"))
-    rows = clusters.join(F.broadcast(target.join(merged)), how="left") if ids else clusters.withColumns({"__t": F.lit(None), "__images": F.lit(None), "__n": F.lit(0)})
-    acts = F.coalesce(F.col("__n") >= 2, F.lit(False))
-    rows = rows.withColumn("images", F.when(acts & (F.col("cluster_id") == F.col("__t")), F.col("__images")).otherwise(F.col("images")))
-    return rows.where(~acts | ~F.col("cluster_id").isin(*ids) | (F.col("cluster_id") == F.col("__t"))).select(*clusters.columns)
+    order = F.struct(F.col("confirmed_group").isNull(), -F.size("images"), "pos")
+    # a row of two numbers is all that is broadcast; the images go to their cluster by its id
+    pick = chosen.agg(F.min_by("cluster_id", order).alias("__t"), F.count("*").alias("__n")).where("__n >= 2")
+    names = chosen.select(F.explode("images").alias("image")).distinct().agg(F.array_sort(F.collect_list("image")).alias("__images"))
+    merged = pick.join(names).select(F.col("__t").alias("cluster_id"), "__images")
+    rows = clusters.join(F.broadcast(pick), how="left").join(merged, "cluster_id", "left")
+    rows = rows.withColumn("images", F.coalesce("__images", "images"))
+    return rows.where(F.col("__t").isNull() | ~F.col("cluster_id").isin(*ids) | (F.col("cluster_id") == F.col("__t"))).select(*clusters.columns)
 
 
 def split_clusters(clusters: DataFrame, selected: DataFrame) -> DataFrame:
@@ -177,7 +179,7 @@ def confirmed_first(clusters: DataFrame) -> DataFrame:
     while rows.where("up IS NOT NULL").limit(1).count():
         over = rows.select(F.col("cluster_id").alias("up"), F.col("first").alias("also"), F.col("up").alias("further"))
         rows = rows.join(over, "up", "left").select("cluster_id", "pos", (F.col("first") | F.coalesce("also", F.lit(False))).alias("first"), F.when(~F.coalesce("also", F.lit(False)), F.col("further")).alias("up"))
-    return rows.select("cluster_id", (F.row_number().over(Window.orderBy(F.desc("first"), "pos")) - 1).cast("long").alias("pos"))
+    return with_positions(rows.select("cluster_id", (~F.col("first")).alias("late"), F.col("pos").alias("was")), "late", "was").select("cluster_id", "pos")
 
 
 def distinct_names(keys: DataFrame) -> DataFrame:
