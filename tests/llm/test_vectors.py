@@ -99,3 +99,15 @@ def test_topk_of_large_components(spark):
     df = spark.createDataFrame([(20, [2.0**27, 1.0], 1, ""), (1, [2.0**21, 1.0], 1, ""), (2, [0.5, 3.0], 1, ""), (3, [-(2.0**20), 0.0], 1, "")], SCHEMA)
     got = [(r.vec_id, r.score) for r in top_inner_products(df, F.col("vec_id") == 20).orderBy("rank").collect()]
     assert got == [(1, 2**60 + 4096), (2, 2**38 + 3 * 4096), (3, -(2**59))]
+
+
+def test_columns_of_any_names_beside_the_vectors(spark):
+    rows = vectors(60)
+    plain = spark.createDataFrame(rows, SCHEMA)
+    extra = plain
+    for c in ("rank", "score", "q", "rep", "query_id", "kept", "n_links", "component_id", "id", "vec", "node", "cell", "pivot", "block", "key"):
+        extra = extra.withColumn(c, F.lit("x"))
+    kinds = (link_vectors, lambda df: top_inner_products(df, F.col("vec_id") % 20 == 0))
+    for op in kinds:
+        a, b = (sorted(map(str, op(df).collect())) for df in (plain, extra))
+        assert a == b and a

@@ -87,3 +87,19 @@ def test_stages_keep_rows_and_columns_of_all_kinds(spark, tmp_path, rows):
     assert corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path)).columns == docs.columns
     packed = corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path))
     assert packed.where("start = 0").count() == docs.count()
+
+
+def test_the_quality_stage_keeps_what_the_model_accepts(spark, tmp_path):
+    """Rows of all kinds: which of them stay is what the fitted model says of each text by itself."""
+    from tessel.llm import quality
+
+    good, bad = ["the cat sat on the mat", "a quiet street in the rain"], ["BUY NOW 1!!! $$$", "xx xx xx xx 99 99"]
+    texts = [RND.choice(good if i % 2 else bad) + f" {i} " + RND.choice(good if i % 2 else bad) for i in range(40)]
+    data = [(i, i, t, "en", "s", 1, "x", 0.5, 0, 0) for i, t in enumerate(texts)]
+    data += [(0, None, texts[1], "en", "s", 1, "x", None, 0, 0), (0, 90, None, None, None, None, None, None, None, None), (0, 91, "", "", "", 0, "", 0.1, 0, 0), data[3], (0, 5, bad[0], "en", "s", 1, "x", 0.9, 0, 0)]
+    spark.createDataFrame([(i, i % 2) for i in range(30)] + [(3, 1), (None, 0), (2000, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(data, SCHEMA)
+    model = quality.fit(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    want = sorted(str(r) for r, s in zip(data, model.scores([(r[2] or "").encode() for r in data]), strict=True) if s >= corpus_pipeline.LEAST_SCORE)
+    got = sorted(str(tuple(r)) for r in corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path)).collect())
+    assert got == want and 15 < len(got) < len(data) - 10
