@@ -63,23 +63,24 @@ class GroupLog:
 
     def as_of(self, version: int | None = None) -> DataFrame:
         """ROWS of a version, by default the current one."""
-        version = self.version() if version is None else version
-        if version > self.version():
+        now = self.version()
+        if version is not None and version > now:
             raise LookupError(f"no version {version}")
-        committed = self.log().select("version").where(F.col("version") <= version)
-        known = self._table("snapshots", ROWS).join(F.broadcast(committed), "version", "left_semi")
-        start = known.agg(F.max("version")).first()[0]
-        snapshot = known.where(F.col("version") == (-1 if start is None else start))
-        later = self._table("changes", f"kept boolean, {ROWS}").where((F.col("version") > (-1 if start is None else start)) & (F.col("version") <= version))
-        return replayed(snapshot.drop("version"), later.join(F.broadcast(committed), "version", "left_semi"))
-
-    def _write(self, members: DataFrame, action: str, undo: list[int]) -> int:
-        version = self.version() + 1
+        return self._as_of(now if version is None else version)
+
+    def _as_of(self, version: int) -> DataFrame:
+        """The last snapshot and the changes after it; up to a committed version all numbers are committed, since a number is taken again until its log is there."""
+        start = version - version % self.every
+        snapshot = self._table("snapshots", ROWS).where(F.col("version") == start)
+        later = self._table("changes", f"kept boolean, {ROWS}").where((F.col("version") > start) & (F.col("version") <= version))
+        return replayed(snapshot.drop("version"), later)
+
+    def _write(self, members: DataFrame, action: str, undo: list[int], version: int) -> int:
         path = lambda name: f"{self.root}/{name}/version={version}"
         if not version % self.every:
             members.select(*KEY, *_typed()).write.mode("overwrite").parquet(path("snapshots"))
         else:
-            change_rows(self.as_of(version - 1), members).write.mode("overwrite").parquet(path("changes"))
+            change_rows(self._as_of(version - 1), members).write.mode("overwrite").parquet(path("changes"))
         # the commit: fails if another writer has made this version meanwhile
         self.spark.createDataFrame([(action, undo)], _LOG).coalesce(1).write.mode("error").parquet(path("log"))
         return version
@@ -87,12 +88,12 @@ class GroupLog:
     def commit(self, members: DataFrame, action: str) -> int:
         """A new version with these members; the one before can be undone to."""
         now, undo = self._last()
-        return self._write(members, action, [*undo, now][-UNDO:] if now >= 0 else [])
+        return self._write(members, action, [*undo, now][-UNDO:] if now >= 0 else [], now + 1)
 
     def undo(self) -> int | None:
         """A new version with the members from before the last edit that isn't undone yet; None if there is none within reach."""
-        _, undo = self._last()
-        return self._write(self.as_of(undo[-1]), "undo", undo[:-1]) if undo else None
+        now, undo = self._last()
+        return self._write(self._as_of(undo[-1]), "undo", undo[:-1], now + 1) if undo else None
 
     def changes(self) -> DataFrame:
         """(version, action, put, dropped): how many rows each version has changed; a snapshot's version has nulls."""
