@@ -70,6 +70,7 @@ class Workspace:
     _owner: int | None = None
     _group: str | None = None
     _cancelled: bool = False
+    _models: tuple[DataFrame, list[str]] | None = None
 
     @contextmanager
     def _guard(self, name: str) -> Iterator[None]:
@@ -143,8 +144,14 @@ class Workspace:
 
     # --- clusters
 
+    def _known(self) -> list[str]:
+        """The models that have rows; the table is asked once, as long as it is the same."""
+        if self._models is None or self._models[0] is not self.models:
+            self._models = self.models, sorted(r.model for r in self.models.select("model").distinct().collect())
+        return self._models[1]
+
     def _vectors(self, weights: dict[str, float] | None) -> DataFrame:
-        have = {r.model for r in self.models.select("model").distinct().collect()}
+        have = set(self._known())
         asked = {m: w for m, w in (weights or {self.fallback: 1.0}).items() if w and w > 0}
         if missing := sorted(set(asked) - have):
             if self.extract is None:
@@ -245,7 +252,7 @@ class Workspace:
         wanted = self.spark.createDataFrame([(f,) for f in dict.fromkeys(filenames)], "filename string").join(self.images, "filename").select("image_id")
         if options.pop("use_patches", False) and self.patches is not None:
             options["patches"] = self.patches
-        got = knn.nearest(self.models, wanted, weights or {self.fallback: 1.0}, members=self.members, fallback=self.fallback, **options)
+        got = knn.nearest(self.models, wanted, weights or {self.fallback: 1.0}, members=self.members, fallback=self.fallback, known_models=self._known(), **options)
         return got.join(self.images.select("image_id", "filename"), "image_id").orderBy("distance", "image_id").select("filename", "distance", "group_id", "name")
 
     @_job

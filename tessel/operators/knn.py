@@ -131,20 +131,21 @@ def nearest(
     patches: DataFrame | None = None,
     needs_norm: frozenset[str] = frozenset({"color"}),
     fallback: str = "clip",
+    known_models: list[str] | None = None,
 ) -> DataFrame:
     """(image_id, distance, group_id, name): the nearest items, ties to the smaller id; filters apply before the cut.
 
     models: image_id, model, vec (null vectors don't count); patches: image_id, patches, if they are to count. What comes to the driver are the
-    names of the models and the vectors of ``most_query`` items at most. Query items without vectors are ignored; if none has any, an error is raised."""
+    names of the models (found by a scan unless ``known_models`` are given) and the vectors of ``most_query`` items at most. Query items without vectors are ignored; if none has any, an error is raised."""
     models = models.where(F.col("vec").isNotNull())
     known = query.select("image_id").join(models.select("image_id"), "image_id", "left_semi")
     asked = models.join(downsampled(known, most_query), "image_id", "left_semi").select("image_id", "model", F.col("vec").cast("array<double>").alias("vec"))
     names = models.select("model").distinct().select(F.lit(None).cast(models.schema["image_id"].dataType).alias("image_id"), "model", F.lit(None).cast("array<double>").alias("vec"))
-    got = asked.unionByName(names).collect()
+    got = (asked if known_models is not None else asked.unionByName(names)).collect()
     rows = [r for r in got if r.vec is not None]
     if not rows:
         raise ValueError("none of the query items has a vector")
-    use = active_models(weights, [r.model for r in got if r.vec is None], fallback)
+    use = active_models(weights, known_models if known_models is not None else [r.model for r in got if r.vec is None], fallback)
     wanted = query_vectors([r for r in rows if r.model in use], aggregation, needs_norm)
     by_patch = None if patches is None else patch_query_distances(patches, sorted({r.image_id for r in rows}), aggregation)
     found = blended(model_distances(models, wanted, needs_norm), use, by_patch)
