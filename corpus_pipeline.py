@@ -39,7 +39,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(mixing.in_written_order(docs), "word_bpe_49k.json", with_ids=True)
+    return packing.pack(mixing.in_written_order(docs), "word_bpe_49k.json", with_ids=True, remember=350_000)
 
 
 STAGES = [("quality", good_documents), ("dedup", one_of_each_group), ("repeats", without_repeats), ("mixing", mixed_sources), ("packing", packed)]

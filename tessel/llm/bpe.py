@@ -306,8 +306,8 @@ def ascii_pieces(chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 @lru_cache(2)
-def library_codec(path: str) -> Codec:
-    """Ids of the tokenizers library for a vocabulary that lower-cases, drops white space and marks word ends.
+def library_codec(path: str, remember: int = 700_000) -> Codec:
+    """Ids of the tokenizers library for a vocabulary that lower-cases, drops white space and marks word ends; ``remember``: chunks at once, 17 characters each.
 
     What stands between white space is encoded once and remembered: ASCII, where the library's normalisation is lower-casing, by
     the merger above; anything else, special strings and very long chunks by the library."""
@@ -329,7 +329,7 @@ def library_codec(path: str) -> Codec:
         out[plain], out[~plain] = flat, np.concatenate(got)
         return out, sizes
 
-    return Codec(lambda text: (m[0] for m in UNSPACED.finditer(text)), UNSPACED.findall, encode, most=350_000, most_text=6_000_000)
+    return Codec(lambda text: (m[0] for m in UNSPACED.finditer(text)), UNSPACED.findall, encode, most=remember, most_text=remember * 120 // 7)
 
 
 def release() -> None:
