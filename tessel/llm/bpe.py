@@ -211,6 +211,34 @@ def place(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+#: Of the bytes of ASCII in PIECES: letters, digits, the separator of chunks, the space before a piece, others.
+BYTE_KIND = np.zeros(256, np.uint8)
+BYTE_KIND[65:91] = BYTE_KIND[97:123] = 1
+BYTE_KIND[48:58], BYTE_KIND[10], BYTE_KIND[32] = 2, 3, 4
+#: Fixed value: what an apostrophe before letters takes with it.
+ENDINGS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
+
+
+def _endings(raw: np.ndarray, start: np.ndarray, letter: np.ndarray) -> None:
+    """An apostrophe that starts a piece before letters takes its ending with it."""
+    mark = np.flatnonzero((raw[:-2] == 39) & start[:-2] & letter[1:-1])
+    for ending in ENDINGS:
+        at = mark[(raw[mark + 1] == ending[0]) & (raw[mark + len(ending)] == ending[-1])]
+        start[at + 1], start[at + 1 + len(ending)] = False, True
+
+
+def spaced_pieces(chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of ASCII chunks without white space but one space before them: bytes, the lengths of the pieces of PIECES they fall into, and the chunk of each."""
+    raw = np.frombuffer(("\n".join(chunks) + "\n\n\n").encode(), np.uint8)
+    kind = BYTE_KIND[raw]
+    start = np.ones(len(raw), bool)
+    start[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != 4) | (kind[1:] == 3)
+    _endings(raw, start, kind == 1)
+    begin = np.flatnonzero(start)
+    own = kind[begin] != 3
+    return raw[kind != 3], np.diff(np.append(begin, len(raw)))[own], np.cumsum(kind == 3)[begin[own]]
+
+
 @lru_cache(2)
 def byte_codec(path: str, ids: bool = True) -> Codec:
     """As the tokenizers library encodes with a byte-level .json vocabulary: its special strings inside texts are single tokens."""
@@ -258,7 +286,7 @@ def byte_codec(path: str, ids: bool = True) -> Codec:
             close()
         return (np.concatenate(flats), np.concatenate(counts)) if flats else (np.empty(0, np.int32), np.empty(0, np.int64))
 
-    def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def by_regex(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found, owner, marks = [], [], []
         for i, c in enumerate(chunks):
             if c in merger.special:
@@ -280,14 +308,34 @@ def byte_codec(path: str, ids: bool = True) -> Codec:
             flat = out
         return flat, total
 
+    def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        mine = np.fromiter((c.isascii() and "<|" not in c and len(c) < 1 << 12 and not c.isspace() and c not in merger.special for c in chunks), bool, len(chunks))
+        if not mine.any():
+            return by_regex(chunks)
+        raw, lens, own = spaced_pieces([c for c, m in zip(chunks, mine.tolist(), strict=True) if m])
+        flats, counts, ends, at = [], [], np.cumsum(lens), 0
+        while at < len(lens):
+            done = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + MERGE_BYTES, side="right")))
+            flat, each = merger.encode_raw(raw[done : ends[to - 1]], lens[at:to])
+            flats.append(flat)
+            counts.append(each)
+            at = to
+        flat = np.concatenate(flats)
+        sizes = np.bincount(np.flatnonzero(mine)[own], weights=np.concatenate(counts), minlength=len(chunks)).astype(np.int64)
+        if mine.all():
+            return flat, sizes
+        others, sizes[~mine] = by_regex([c for c, m in zip(chunks, mine.tolist(), strict=True) if not m])
+        out, plain = np.empty(int(sizes.sum()), np.int32), np.repeat(mine, sizes)
+        out[plain], out[~plain] = flat, others
+        return out, sizes
+
     return Codec(walk, split, encode, ids)
 
 
 #: Of the bytes of lower-case ASCII: letters, digits, the separator of chunks, others.
 KIND = np.zeros(256, np.uint8)
 KIND[97:123], KIND[48:58], KIND[10] = 1, 2, 3
-#: Fixed value: what an apostrophe before letters takes with it.
-ENDINGS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 
 
 def ascii_pieces(chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -296,10 +344,7 @@ def ascii_pieces(chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     kind = KIND[raw]
     start = np.ones(len(raw), bool)
     start[1:] = (kind[1:] != kind[:-1]) | (kind[1:] >= 2)
-    mark = np.flatnonzero((raw[:-2] == 39) & start[:-2] & (kind[1:-1] == 1))
-    for ending in ENDINGS:
-        at = mark[(raw[mark + 1] == ending[0]) & (raw[mark + len(ending)] == ending[-1])]
-        start[at + 1], start[at + 1 + len(ending)] = False, True
+    _endings(raw, start, kind == 1)
     begin = np.flatnonzero(start)
     own = kind[begin] != 3
     return raw[kind != 3], np.diff(np.append(begin, len(raw)))[own], np.cumsum(kind == 3)[begin[own]]

@@ -89,8 +89,9 @@ def in_training_order(docs: DataFrame, vocabulary: str, stride: int = 512, shard
 
     got = cut.join(F.broadcast(spark.createDataFrame(starts, "part long, before long")), "part")
     got = got.withColumn("slot", slot(F.col("at") + F.col("before"))).withColumn("shard", F.expr(f"slot div {shard_rows}"))
-    shards = -(-total // shard_rows)
-    got = got.repartitionByRange(max(1, min(shards, max(shuffle_partitions(spark), shards // 16))), "shard").sortWithinPartitions("slot")
+    shards = max(1, -(-total // shard_rows))
+    tasks = min(shards, max(shuffle_partitions(spark), shards // 16))
+    got = got.repartitionById(tasks, F.expr(f"cast(shard * {tasks} div {shards} as int)")).sortWithinPartitions("slot")  # equal ranges, known without a sample
     crc = F.crc32("ids")
     padded = F.concat("ids", F.expr(f"cast(repeat('\\0', int(2 * ({stride} - length))) as binary)"))
     return got.select("slot", "shard", (F.pmod(F.col("slot"), F.lit(shard_rows)) * 2 * stride).alias("byte_offset"), F.col("id").alias(id_col), "start", "length", crc.alias("ids_crc32"), padded.alias("record"))

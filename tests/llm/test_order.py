@@ -7,9 +7,10 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
-from tessel.llm import mixing, packing, training_order
+from tessel.llm import bpe, mixing, packing, training_order
 from tessel.llm.bpe import place
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -192,6 +193,45 @@ def test_training_order_round_trip_and_shards(spark, tmp_path):
     assert read == b"".join(bytes(x) for x in got.record)
 
 
+def test_shards_are_dealt_without_a_sample_of_the_rows(spark):
+    df, _ = frame(spark, 200)
+    ordered = training_order.in_training_order(df, "byte_bpe_50k.json", stride=16, shard_rows=4)
+    assert "rangepartitioning" not in ordered._jdf.queryExecution().toString().lower()
+    got = ordered.withColumn("task", F.spark_partition_id()).select("task", "shard", "slot").toPandas()
+    tasks = got.groupby("shard").task.agg(["min", "max"])
+    assert (tasks["min"] == tasks["max"]).all() and tasks["min"].is_monotonic_increasing
+    rows = got.groupby("task").size()
+    assert len(rows) > 4 and rows.max() - rows.min() <= 8
+    assert all(mine.slot.is_monotonic_increasing for _, mine in got.groupby("task"))
+
+
+def test_ascii_is_split_by_arrays_as_the_library_splits_it(monkeypatch):
+    seen, plain_compile = [], regex.compile
+
+    class Counted:
+        def __init__(self, pattern):
+            self.own = plain_compile(pattern)
+
+        def findall(self, text):
+            seen.append(text)
+            return self.own.findall(text)
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+    rnd = np.random.default_rng(4)
+    parts = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'", "''", "'S", "don't", "a", "Zq", "7", "42", ".", "--", "\x1c", "\x00", "_", " ", " ", "  ", "\n", "\t", "<", "|>", "x's's", "'sam", "'lx", "é's"]
+    texts = ["".join(rnd.choice(parts, rnd.integers(1, 40))) for _ in range(4000)] + ["it's " * 3, "a" * 5000, "'", " '", "' s", "<|endoftext|>'s"]
+    monkeypatch.setattr(bpe, "MERGE_BYTES", 3000)
+    monkeypatch.setattr(bpe.regex, "compile", Counted)
+    flat, n = bpe.byte_codec.__wrapped__("byte_bpe_50k.json")(texts)
+    monkeypatch.undo()
+    t = tokenizers.Tokenizer.from_file(place("byte_bpe_50k.json"))
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert n.tolist() == list(map(len, want)) and flat.tolist() == [x for w in want for x in w]
+    assert all("é" in c or c.isspace() or "<|" in c or len(c) > 4000 for c in seen)
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert packing.pack(df, "word_bpe_49k.json").count() == 0
