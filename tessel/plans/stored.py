@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessel.functions import text
+from tessel.functions import vectors as V
 from tessel.operators import cache, cuts, groups, linkage, ordering, pairs, rename_log, renames, search, weights
 from tessel.operators.extraction import Extraction, encoded
 from tessel.operators.history import GroupLog
@@ -249,7 +250,7 @@ def embeddings_of_all_files(spark, d):
     v = X.images(spark, d)
     rows = v.select(F.sha2("filename", 256).alias("hash"), F.lit("full").alias("model"), "vec")
     got = cache.by_filename(v.select("filename", F.sha2("filename", 256).alias("hash")), rows, strict=True)
-    return got.withColumn("vec", F.transform("vec", lambda x: F.round(x, 6)))
+    return got.withColumn("vec", F.transform("vec", lambda x: V.rounded(x, 6)))
 
 
 @query(X.with_(X.IMAGES, X.MODELS) + "SELECT preset, model, weight, n AS items FROM (VALUES " + ", ".join(f"('{p}', '{m}', {w}::DOUBLE)" for p, ws in weights.PRESETS.items() for m, w in ws.items()) + ") t(preset, model, weight) JOIN (SELECT model, count(*) AS n FROM models GROUP BY model) USING (model)")

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessel.functions import vectors as V
 from tessel.operators import diagnostics, knn
 
 MODELS = "image_id long, model string, vec array<double>"
@@ -67,3 +68,12 @@ def test_member_pairs_equal_brute_force(spark, block):
     assert turned.count() == 2 * turned.where("gpa < gpb").count() == 2 * turned.where("gpa > gpb").count()
     assert not diagnostics.member_pairs(m.where(F.lit(False))).collect()
     assert {r.group_id: r.threshold for r in diagnostics.inner_median(m.where("member_pos = 0")).collect()} == {"a": 0.0, "b": 0.0, "c": 0.0}
+
+
+def test_rounding_keeps_the_sign_of_zero(spark):
+    x = [-8.9e-8, 4.3e-7, -0.5e-6, -0.0, 0.0, -1.5, 0.1234565, None]
+    rows = spark.createDataFrame([(v,) for v in x], "x double")
+    got = [r.x for r in rows.select(V.rounded(F.col("x"), 6).alias("x")).collect()]
+    want = [-0.0, 0.0, -1e-6, 0.0, 0.0, -1.5, 0.123457]
+    assert got[-1] is None and got[:-1] == want
+    assert [np.signbit(v) for v in got[:-1]] == [True, False, True, True, False, True, False]
