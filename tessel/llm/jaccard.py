@@ -131,9 +131,10 @@ def _digest(docs: DataFrame, bands: Bands, k: int) -> DataFrame:
 
 def _members(rows: DataFrame, heads: DataFrame) -> DataFrame:
     """(key, id, n) of the rows' keys that may be among the heads': a filter of fixed size keeps most others from the shuffle."""
-    if heads.count() > FILTER_KEYS:
+    n = heads.count()
+    if n > FILTER_KEYS:
         return rows.select(F.explode("keys").alias("key"), "id", "n")
-    held = rows.sparkSession.sparkContext.broadcast(key_filter(heads))
+    held = rows.sparkSession.sparkContext.broadcast(key_filter(heads, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
