@@ -77,3 +77,40 @@ def test_rounding_keeps_the_sign_of_zero(spark):
     want = [-0.0, 0.0, -1e-6, 0.0, 0.0, -1.5, 0.123457]
     assert got[-1] is None and got[:-1] == want
     assert [np.signbit(v) for v in got[:-1]] == [True, False, True, True, False, True, False]
+
+
+@pytest.mark.parametrize("block", [4, 24, 200])
+def test_reduced_diagnostics_equal_brute_force(spark, monkeypatch, block):
+    """Groups of all sizes, with copies of vectors across and within groups; none of the pairs may be written."""
+    monkeypatch.setattr(diagnostics, "CELLS", 20)
+    monkeypatch.setattr(diagnostics, "member_pairs", None)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(20, 3)).tolist()
+    rows = [(g, gp, at, 100 * gp + at, base[int(rng.integers(20))]) for gp, (g, n) in enumerate([("d", 11), ("a", 5), ("c", 1), ("b", 8), ("e", 2)]) for at in range(n)]
+    m = spark.createDataFrame([(*r, r[4][:2]) for r in rows], "group_id string, group_pos long, member_pos long, image_id long, vec array<double>, color array<double>")
+    x = np.array([r[4] for r in rows])
+    part = lambda v: np.maximum(0.0, 1 - np.einsum("ij,kj->ik", v, v) / (np.sqrt((v * v).sum(1))[:, None] * np.sqrt((v * v).sum(1))[None, :]))
+    sd, cd = part(x), part(x[:, :2])
+    n, of = len(rows), {}
+    for i in range(n):
+        of.setdefault(rows[i][0], []).append(i)
+    order = list(of)
+    at = lambda v, share: sorted(v)[min(len(v) - 1, int(len(v) * share))]
+    cross = {(g, h): [sd[i, j] for i in of[g] for j in of[h]] for k, g in enumerate(order) for h in order[k + 1 :]}
+    inner = {g: [sd[i, j] for i in of[g] for j in of[g] if i < j] for g in order}
+    got = {(r.ga, r.gb): (r.lo, r.hi, r.n) for r in diagnostics.ranks(m, {"lo": 0.1, "hi": 0.75}, block=block, buckets=4, small=3).collect()}
+    assert got == {k: (at(v, 0.1), at(v, 0.75), len(v)) for k, v in cross.items()}
+    got = {r.ga: r.mid for r in diagnostics.ranks(m, {"mid": 0.5}, within=True, block=block, buckets=4, small=3).collect()}
+    assert got == {g: at(v, 0.5) for g, v in inner.items() if v}
+    t = {g: at(v, 0.5) if v else 0.0 for g, v in inner.items()}
+    got = {(r.group_a, r.group_b): (r.threshold, r.overlap) for r in diagnostics.overlap(m, block).collect()}
+    assert got == {(g, h): (t[g], np.mean([sd[i, j] < t[g] for i in of[g] for j in of[h]])) for g in order for h in order if g != h}
+    near = [min((sd[i, j], rows[j][1], rows[j][2], rows[j][0]) for j in range(n) if rows[j][0] != rows[i][0])[3] for i in range(n)]
+    got = {(r.group_a, r.group_b): r.fraction for r in diagnostics.nearest_fraction(m, block).collect()}
+    assert got == {(g, h): k / len(of[g]) for g in order for h in order if (k := sum(near[i] == h for i in of[g]))}
+    got = {(r.group_a, r.group_b, r.image_id): (r.color_d, r.semantic_d) for r in diagnostics.multiplicative(m, block).collect()}
+    best = lambda i, h: min((cd[i, j] * sd[i, j], rows[j][2], cd[i, j], sd[i, j]) for j in of[h])[2:]
+    assert got == {(rows[i][0], h, rows[i][3]): best(i, h) for i in range(n) for h in order if h != rows[i][0]}
+    got = {(r.group_a, r.group_b, r.threshold): (r.fraction_ab, r.fraction_ba) for r in diagnostics.color_gate(m, [0.1, 0.5], block).collect()}
+    share = lambda g, h, x: np.mean([min(cd[i, j] for j in of[h]) < x for i in of[g]])
+    assert got == {(g, h, x): (share(g, h, x), share(h, g, x)) for g in order for h in order if g < h for x in (0.1, 0.5)}
