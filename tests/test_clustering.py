@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessel.operators import cuts, linkage
+from tessel.operators import cuts, linkage, reciprocal
 
 
 def plain_ward(d, groups):
@@ -266,3 +266,42 @@ def test_more_groups_than_fit_a_task_are_kept_apart(spark):
     x = np.random.default_rng(8).normal(size=(24, 5))
     s = linkage.linkages(_runs(spark, [("g", x, {i: i // 2 for i in range(24)})]), most=8).toPandas().sort_values("step")
     assert (s.phase == 0).sum() == 12 and (s.distance >= 1e10).sum() == 11 and s.new_size.iloc[-1] == 24 and len(set(s.a)) == 23
+
+
+@pytest.mark.parametrize("by_moments", [True, False])
+def test_sums_of_clusters_equal_brute_force(monkeypatch, by_moments):
+    """Of items by their distances or by moments, and with given groups, whose distances stop at 0 member by member."""
+    monkeypatch.setattr(reciprocal, "CELLS", 50)
+    monkeypatch.setattr(reciprocal._Clusters, "by_moments", lambda *_: by_moments)
+    rng = np.random.default_rng(0)
+
+    def side(n, k, groups):
+        own, rank = np.sort(rng.integers(0, k, n)), np.full(n, -1)
+        for c in groups:
+            at = np.flatnonzero(own == c)[::2]
+            rank[at] = rng.permutation(len(at))
+        rows = pd.DataFrame({"own": own, "idx": range(n), "n": 1, "w": 0.0, "g": -1, "rank": rank, "gap": rng.random(n), "large": False})
+        return rows.assign(vec=list(rng.normal(size=(n, 4))))
+
+    def units(t):
+        plain = [(t.own[i], [i]) for i in np.flatnonzero(t["rank"] < 0)]
+        return plain + [(c, list(g.sort_values("rank").index)) for c, g in t[t["rank"] >= 0].groupby("own")]
+
+    def brute(a, b):
+        x, y = reciprocal._features(a.vec, False), reciprocal._features(b.vec, False)
+        d, out = np.maximum(0, 1 - x @ y.T) ** 2, np.zeros((a.own.nunique(), b.own.nunique()))
+        for c, i in units(a):
+            for e, j in units(b):
+                if len(i) > 1 and len(j) > 1:
+                    continue
+                far, t, rows = (d[i[0], j], b, j) if len(j) > 1 else (d[i, j[0]], a, i)
+                now = far[0]
+                for k in range(1, len(far)):
+                    now = reciprocal._with_member(now, far[k], t.gap[rows[k]], k)
+                out[np.searchsorted(a.own.unique(), c), np.searchsorted(b.own.unique(), e)] += now * (1 + len(far)) / 2
+        return out
+
+    a, b = side(60, 9, [1, 3]), side(40, 25, [2])
+    one, other = reciprocal._Clusters(a, "vec"), reciprocal._Clusters(b, "vec")
+    got = np.concatenate([one.sums(other, k, min(len(one.own), k + 4)) for k in range(0, len(one.own), 4)])
+    assert np.allclose(got, brute(a, b), atol=1e-10)
