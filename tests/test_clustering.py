@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessel.operators import cuts, linkage, reciprocal
+from tessel.plans import catalog
 
 
 def plain_ward(d, groups):
@@ -305,3 +306,10 @@ def test_sums_of_clusters_equal_brute_force(monkeypatch, by_moments):
     one, other = reciprocal._Clusters(a, "vec"), reciprocal._Clusters(b, "vec")
     got = np.concatenate([one.sums(other, k, min(len(one.own), k + 4)) for k in range(0, len(one.own), 4)])
     assert np.allclose(got, brute(a, b), atol=1e-10)
+
+
+def test_a_linkage_of_patches_takes_no_given_distances(spark, sf_dir, monkeypatch):
+    """They stop at the items that fit a task, of which the pairs would come to one."""
+    monkeypatch.setattr(linkage, "linkages_of_pairs", None)
+    got = catalog.QUERIES["ward_linkage_of_patches"](spark, sf_dir)
+    assert got.columns == ["run_id", "step", "phase", "a", "b", "distance", "new_size"] and got.count() == 499
