@@ -5,9 +5,12 @@ what is missing from the committed rows, whatever portions or partitions it had
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from tessel.functions import vectors as V
+from tessel.sources import shared
 
+#: Portions that are written at the same time.
+PARALLEL = 8
 ROWS = "hash string, model string, version string, vec array<float>"
 
 
@@ -45,17 +51,39 @@ class Extraction:
     def run(self, todo: DataFrame, encode: Callable[[DataFrame], DataFrame]) -> int:
         """Encodes what is missing; ``encode`` turns rows of ``todo`` into ROWS. The number of items encoded."""
         rows = self.missing(todo)
-        n = rows.count()
-        portions = -(-n // self.portion)
+        portions = -(-rows.count() // self.portion)
+        if not portions:
+            return 0
         first = (self.log().agg(F.max("portion")).first()[0] or 0) + 1
-        for k in range(portions):
-            # the part of an item hangs on its hash only, so portions that were committed meanwhile don't move the others
-            own = rows.where(F.pmod(F.xxhash64("hash", "model", "version"), F.lit(portions)) == k)
-            path = lambda name: f"{self.root}/{name}/portion={first + k}"  # noqa: B023, E731
-            encode(own).select(*(c.split()[0] for c in ROWS.split(", "))).write.mode("overwrite").parquet(path("data"))
-            items = self.spark.read.parquet(path("data")).count()
+        # the part of an item hangs on its hash only; what is missing is dealt to the portions once, so that a portion reads nothing but its own items
+        dealt = f"{self.root}/todo-{uuid.uuid4().hex[:12]}"
+        own = rows.withColumn("portion", F.pmod(F.xxhash64("hash", "model", "version"), F.lit(portions)) + first)
+        own.repartition("portion").write.partitionBy("portion").parquet(dealt)
+        kinds = [c.split()[0] for c in ROWS.split(", ")]
+
+        def commit(k: int, got: DataFrame) -> int:
+            path = lambda name: f"{self.root}/{name}/portion={k}"
+            got.write.mode("overwrite").parquet(path("data"))
+            items = self.spark.read.schema(ROWS).parquet(path("data")).count()
             self.spark.createDataFrame([(items,)], "items long").coalesce(1).write.mode("error").parquet(path("log"))
-        return n
+            return items
+
+        # each portion is committed alone, some at a time; ``encode`` is called in their order, and no more once it or a portion fails
+        running = []
+        try:
+            with ThreadPoolExecutor(PARALLEL) as pool:
+                for k in range(first, first + portions):
+                    try:
+                        mine = self.spark.read.schema(rows.schema).parquet(f"{dealt}/portion={k}")
+                    except AnalysisException:  # no item's hash leads here
+                        continue
+                    got = encode(mine).select(*kinds)
+                    if len(running) >= PARALLEL:
+                        running[-PARALLEL].result()
+                    running.append(pool.submit(inheritable_thread_target(self.spark)(commit), k, got))
+            return sum(r.result() for r in running)
+        finally:
+            shared.delete(self.spark, dealt)
 
 
 def encoded(files: DataFrame, make: Callable[[], Callable[[np.ndarray], np.ndarray]], size: int, model: str, version: str = "1", unit: bool = True, batch: int = 64) -> DataFrame:

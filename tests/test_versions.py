@@ -149,3 +149,20 @@ def test_progress_rises_and_cancelling_is_told(spark, sf_dir):
     with pytest.raises(Exception):
         w.run(spark.range(0, 640, 1, 640).mapInPandas(slow, "id long"), name="long")
     assert heard[-1] == "long: cancelled" and not w.running() and w.progress() is None
+
+
+def test_portions_read_nothing_but_their_own_items(spark, tmp_path):
+    """What is to be encoded is made a few times for all portions, not once for each."""
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    todo = spark.range(60).selectExpr("string(id) AS hash", "'toy' AS model", "'1' AS version", "float(id) AS x").mapInArrow(seen, "hash string, model string, version string, x float")
+    encode = lambda rows: rows.selectExpr("hash", "model", "version", "array(x) AS vec")
+    job = Extraction(spark, str(tmp_path), portion=6)
+    assert job.run(todo, encode) == 60 and made.value <= 3 * 60
+    assert job.log().count() > 5 and sorted(float(r.vec[0]) for r in job.rows().collect()) == list(map(float, range(60)))
+    assert job.run(todo, encode) == 0 and not list(tmp_path.glob("todo-*"))
