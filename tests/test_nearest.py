@@ -1,11 +1,13 @@
 """Nearest items, patch distances and member pairs against brute force, with rows of all kinds."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessel.functions import vectors as V
-from tessel.operators import diagnostics, knn
+from tessel.operators import diagnostics, knn, pairs
 
 MODELS = "image_id long, model string, vec array<double>"
 
@@ -114,3 +116,18 @@ def test_reduced_diagnostics_equal_brute_force(spark, monkeypatch, block):
     got = {(r.group_a, r.group_b, r.threshold): (r.fraction_ab, r.fraction_ba) for r in diagnostics.color_gate(m, [0.1, 0.5], block).collect()}
     share = lambda g, h, x: np.mean([min(cd[i, j] for j in of[h]) < x for i in of[g]])
     assert got == {(g, h, x): (share(g, h, x), share(h, g, x)) for g in order for h in order if g < h for x in (0.1, 0.5)}
+
+
+def test_patch_scores_hold_no_product_of_all_patches(monkeypatch):
+    """The dot products of all patches at once were patches squared times as many numbers as the scores."""
+    monkeypatch.setattr(pairs, "PORTION", 12)
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(9, 4, 3)), rng.normal(size=(7, 5, 3))
+    dots = np.einsum("npd,mqd->npmq", a, b)
+    assert np.allclose(pairs.patch_score_matrix(a, b), (dots.max(axis=3).sum(axis=1) + dots.max(axis=1).sum(axis=2)) / 9)
+    monkeypatch.undo()
+    x = rng.normal(size=(400, 8, 8))
+    tracemalloc.start()
+    pairs.patch_score_matrix(x, x)
+    assert tracemalloc.get_traced_memory()[1] < 16 << 20
+    tracemalloc.stop()
